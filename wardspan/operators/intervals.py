@@ -74,6 +74,37 @@ def tile_intervals(
     return out.withColumn(end, F.coalesce("__nx", end_fallback)).drop("__nx")
 
 
+def tile_with_backfill(
+    df: DataFrame,
+    spans: DataFrame,
+    keys: list[str],
+    start: str,
+    end: str,
+    span_start: str,
+    span_end: str,
+    margin: str,
+    values: list[str],
+    order: list[str] | None = None,
+) -> DataFrame:
+    """Tile a key's whole span with its measurements.
+
+    Each value holds until the next one, the last until ``margin`` after the span; if the first
+    one comes after the span start, its value also covers the time from ``margin`` before it.
+    """
+    rows = df.join(spans.select(*keys, span_start, span_end), keys)
+    tail = F.expr(f"{span_end} + interval {margin}")
+    tiles = tile_intervals(rows, keys, start, end, tail, order or [start])
+    ranked = F.struct(*[F.col(c) for c in (order or [start])])
+    head = rows.groupBy(*keys).agg(
+        F.min_by(F.struct(start, span_start, *values), ranked).alias("h")
+    ).select(*keys, "h.*")
+    head = head.filter(F.col(span_start) < F.col(start))
+    head = head.select(
+        *keys, F.expr(f"{span_start} - interval {margin}").alias("__s"), F.col(start).alias(end), *values
+    ).withColumnRenamed("__s", start)
+    return tiles.select(*keys, start, end, *values).unionByName(head)
+
+
 def cut_points_of(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Distinct starts and ends of a set of intervals."""
     both = spans.select(*keys, F.explode(F.array(F.col(start), F.col(end))).alias("__at"))
@@ -91,9 +122,8 @@ def segments(
     """Cut overlapping interval sets into elementary segments with one value column per source.
 
     All sources travel in one tagged frame: the cut points come from one distinct, and the
-    containment join runs once for all sources rather than once per source. Overlapping rows of
-    one source inside a segment give one output row each combination would give; with
-    non-overlapping sources there is exactly one row per segment.
+    containment join runs once for all sources rather than once per source. Where several rows of
+    one source cover a segment, each combination gives a row; otherwise a segment is one row.
     """
     stacked = None
     for tag, s in sources.items():
@@ -107,17 +137,10 @@ def segments(
     hit = interval_within(seg, outer, keys, (start, end), ("__s", "__e"), "left", width_s)
     ident = [*keys, start, end]
     tags = list(sources)
-    per_tag = hit.groupBy(*ident).agg(
-        *[F.max(F.when(F.col("__tag") == t, F.col("__v"))).alias(t) for t in tags],
-        *[F.count(F.when(F.col("__tag") == t, 1)).alias(f"__n_{t}") for t in tags],
-    )
-    simple = F.greatest(*[F.col(f"__n_{t}") for t in tags], F.lit(0)) <= 1
-    single = per_tag.filter(simple).select(*ident, *tags)
-    # segments covered twice by one source: every combination of that source's rows
-    multi = per_tag.filter(~simple).select(*ident)
-    rows = hit.join(multi, ident, "left_semi")
-    combo = multi
-    for t in tags:
-        side = rows.filter(F.col("__tag") == t).select(*ident, F.col("__v").alias(t))
-        combo = combo.join(side, ident, "left")
-    return single.unionByName(combo)
+    boxed = {
+        t: F.collect_list(F.when(F.col("__tag") == t, F.struct(F.col("__v").alias("v")))) for t in sources
+    }
+    out = hit.groupBy(*ident).agg(*[c.alias(t) for t, c in boxed.items()])
+    for t in sources:
+        out = out.withColumn(t, F.explode_outer(t)).withColumn(t, F.col(t)["v"])
+    return out

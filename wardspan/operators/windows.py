@@ -139,12 +139,21 @@ def trailing_event_counts(
     return out.select("__row.*", *[f"{prefix}{w}h" for w in widths])
 
 
-def sequence_features(df: DataFrame, keys: list[str], ts: str, end_ts: str) -> DataFrame:
+def dense_ranks(df: DataFrame, keys: list[str], order: str, bucket: Column, name: str) -> DataFrame:
+    """Dense rank: distinct order values are numbered, then joined back."""
+    values = df.select(*keys, order).distinct()
+    ranked = row_numbers(values, keys, [order], bucket, name)
+    return df.join(ranked, [*keys, order])
+
+
+def sequence_features(
+    df: DataFrame, keys: list[str], ts: str, end_ts: str, tie: Sequence[str] = ()
+) -> DataFrame:
     """Position in the key's history, days to the next start and days since the previous end."""
     out = prefix_scan(
         df,
         keys,
-        [ts],
+        [ts, *tie],
         time_bucket(ts, 365 * DAY),
         {"__n": ("sum", F.lit(1)), "next_start": ("next", ts), "prev_end": ("prev", end_ts)},
     )
