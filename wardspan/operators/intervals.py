@@ -112,35 +112,34 @@ def cut_points_of(spans: DataFrame, keys: list[str], start: str, end: str) -> Da
 
 
 def segments(
-    sources: dict[str, DataFrame],
+    spans: DataFrame,
     keys: list[str],
     start: str,
     end: str,
     value: str,
+    tag: str,
+    tags: list[str],
     width_s: int = DAY,
 ) -> DataFrame:
-    """Cut overlapping interval sets into elementary segments with one value column per source.
+    """Cut overlapping tagged intervals into elementary segments, one value column per tag.
 
-    All sources travel in one tagged frame: the cut points come from one distinct, and the
-    containment join runs once for all sources rather than once per source. Where several rows of
-    one source cover a segment, each combination gives a row; otherwise a segment is one row.
+    All sources travel in one frame: the cut points come from one distinct, and the containment
+    join runs once for all sources rather than once per source. Where several rows of one tag
+    cover a segment, each combination gives a row; otherwise a segment is one row.
     """
-    stacked = None
-    for tag, s in sources.items():
-        part = s.select(*keys, start, end, F.col(value).alias("__v"), F.lit(tag).alias("__tag"))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    cuts = cut_points_of(stacked, keys, start, end)
+    rows = spans.filter(F.col(tag).isin(*tags))
+    cuts = cut_points_of(rows, keys, start, end)
     seg = prefix_scan(cuts, keys, ["__at"], time_bucket("__at", width_s), {"__to": ("next", "__at")})
     seg = seg.filter(F.col("__to").isNotNull())
     seg = seg.select(*keys, F.col("__at").alias(start), F.col("__to").alias(end))
-    outer = stacked.withColumnsRenamed({start: "__s", end: "__e"})
+    outer = rows.select(
+        *keys, F.col(start).alias("__s"), F.col(end).alias("__e"),
+        F.col(tag).alias("__tag"), F.struct(F.col(value).alias("v")).alias("__v"),
+    )
     hit = interval_within(seg, outer, keys, (start, end), ("__s", "__e"), "left", width_s)
-    ident = [*keys, start, end]
-    tags = list(sources)
-    boxed = {
-        t: F.collect_list(F.when(F.col("__tag") == t, F.struct(F.col("__v").alias("v")))) for t in sources
-    }
-    out = hit.groupBy(*ident).agg(*[c.alias(t) for t, c in boxed.items()])
-    for t in sources:
+    out = hit.groupBy(*keys, start, end).agg(
+        *[F.collect_list(F.when(F.col("__tag") == t, F.col("__v"))).alias(t) for t in tags]
+    )
+    for t in tags:
         out = out.withColumn(t, F.explode_outer(t)).withColumn(t, F.col(t)["v"])
     return out

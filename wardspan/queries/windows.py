@@ -206,8 +206,9 @@ def _(t):
     e = prefix_scan(e, ["user_id", "event_type"], ["starttime"], time_bucket("starttime"), {"nx": ("next", "starttime")})
     end = F.expr("starttime + interval 5 hours")
     e = e.withColumn("endtime", F.when(F.col("nx") < end, F.col("nx")).otherwise(end))
-    src = {k: e.filter(F.col("event_type") == k).select("user_id", "starttime", "endtime", "value") for k in ("view", "click", "error")}
-    return I.segments(src, ["user_id"], "starttime", "endtime", "value")
+    return I.segments(
+        e, ["user_id"], "starttime", "endtime", "value", "event_type", ["view", "click", "error"]
+    )
 
 
 @query(
