@@ -157,6 +157,12 @@ def meld(
     return initial, adjusted
 
 
+def gas_ratios(po2: Column, pco2: Column, fio2: Column) -> tuple[Column, Column]:
+    """Alveolar-arterial gradient (4 decimals) and oxygen ratio for an inspired share in percent."""
+    gradient = fio2 / 100 * (760 - 47) - pco2 / 0.8 - po2
+    return round_dec(gradient, 4), F.try_divide(F.lit(100) * po2, fio2)
+
+
 def mdrd_creatinine(age: Column, female: Column) -> Column:
     """Creatinine that the kidney-function formula gives at a rate of 75."""
     base = F.lit(75.0 / 186.0) / F.pow(age.cast("double"), F.lit(-0.203))

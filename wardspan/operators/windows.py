@@ -199,30 +199,35 @@ def interpolate(
     value: str,
     step_s: int,
     max_gap_s: int,
+    origin: str | None = None,
     width_s: int = DAY,
 ) -> DataFrame:
     """Linear interpolation to a fixed cadence between neighbouring anchors.
 
-    Cadence points are the multiples of ``step_s`` after the epoch inside ``[anchor, next)``;
-    spans longer than ``max_gap_s`` give none, and nothing is made up beyond the last anchor.
+    Cadence points are multiples of ``step_s`` after ``origin`` (a timestamp column, else the
+    epoch). A point on an anchor belongs to the span that ends there, the first anchor to the
+    first span. Spans longer than ``max_gap_s`` give no points; nothing lies beyond the anchors.
     """
-    b = time_bucket(ts, width_s)
     rows = df.filter(F.col(value).isNotNull())
-    rows = prefix_scan(rows, keys, [ts], b, {"__t1": ("next", ts), "__v1": ("next", value)})
+    rows = prefix_scan(
+        rows, keys, [ts], time_bucket(ts, width_s), {"__t0": ("prev", ts), "__v0": ("prev", value), "__n": ("sum", F.lit(1))}
+    )
+    zero = epoch_us(origin) if origin else F.lit(0).cast("long")
     step = F.lit(step_s * 1_000_000)
-    rows = rows.withColumns({"__a": epoch_us(ts), "__b": epoch_us("__t1")})
-    rows = rows.filter(F.col("__b").isNotNull())
+    rows = rows.withColumns({"__z": zero, "__a": epoch_us("__t0"), "__b": epoch_us(ts)})
+    rows = rows.filter(F.col("__a").isNotNull())
     rows = rows.filter((F.col("__b") - F.col("__a")) <= max_gap_s * 1_000_000)
-    first = (F.ceil(F.col("__a") / step) * step).cast("long")
-    final = ((F.ceil(F.col("__b") / step) - 1) * step).cast("long")
-    rows = rows.withColumns({"__first": first, "__final": final})
-    rows = rows.filter(F.col("__first") <= F.col("__final"))
-    rows = rows.withColumn("__us", F.explode(F.sequence("__first", "__final", step.cast("long"))))
+    from_a, to_b = F.col("__a") - F.col("__z"), F.col("__b") - F.col("__z")
+    first = F.when(F.col("__n") == 2, F.ceil(from_a / step)).otherwise(F.floor(from_a / step) + 1)
+    rows = rows.withColumns({"__i": first.cast("long"), "__k": F.floor(to_b / step).cast("long")})
+    rows = rows.filter(F.col("__i") <= F.col("__k"))
+    rows = rows.withColumn("__i", F.explode(F.sequence("__i", "__k")))
+    rows = rows.withColumn("__us", F.col("__z") + F.col("__i") * step)
     frac = (F.col("__us") - F.col("__a")) / (F.col("__b") - F.col("__a"))
     return rows.select(
         *keys,
         from_epoch_us(F.col("__us")).alias("at"),
-        (F.col(value) + (F.col("__v1") - F.col(value)) * frac).alias(value),
+        (F.col("__v0") + (F.col(value) - F.col("__v0")) * frac).alias(value),
     )
 
 

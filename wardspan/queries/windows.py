@@ -222,10 +222,13 @@ def _(t):
 
 @query(
     "interpolate_cadence",
-    """with p as (select user_id, epoch_us(ts) as a, value as va, epoch_us(lead(ts) over w) as b, lead(value) over w as vb
+    """with p as (select user_id, epoch_us(lag(ts) over w) as a, lag(value) over w as va, epoch_us(ts) as b, value as vb,
+                 row_number() over w as rn
                from events where event_type = 'view' window w as (partition by user_id order by ts)),
-    k as (select *, unnest(generate_series(cast(ceil(a / 1800000000.0) as bigint), cast(ceil(b / 1800000000.0) as bigint) - 1)) as i
-          from p where b is not null and b - a <= 6 * 3600000000)
+    k as (select *, unnest(generate_series(
+            case when rn = 2 then cast(ceil(a / 1800000000.0) as bigint) else cast(floor(a / 1800000000.0) as bigint) + 1 end,
+            cast(floor(b / 1800000000.0) as bigint))) as i
+          from p where a is not null and b - a <= 6 * 3600000000)
     select user_id, make_timestamp(i * 1800000000) as at, round(va + (vb - va) * ((i * 1800000000 - a) / (b - a)), 6) as value from k""",
 )
 def _(t):
