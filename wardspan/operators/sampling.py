@@ -126,6 +126,12 @@ def fraction_draws(df: DataFrame, unit: str, fractions: Sequence[float], draws:
     return u.filter(hash_unit(F.lit(seed), F.col("draw"), F.col(unit)) < F.col("fraction"))
 
 
+def hash_split(df: DataFrame, unit: str, share: float, seed: int = 0, name: str = "split") -> DataFrame:
+    """train/test by unit: every row of a unit is on the same side."""
+    part = F.when(hash_unit(F.lit(seed), F.col(unit)) < share, "train").otherwise("test")
+    return df.withColumn(name, part)
+
+
 def resample_units(df: DataFrame, unit: str, times: DataFrame, new_id: str = "synthetic_id") -> DataFrame:
     """Whole units drawn with replacement, each copy under a fresh negative id.
 
