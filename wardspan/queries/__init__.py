@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the registry."""
 
 from wardspan.queries.registry import ORACLES, QUERIES
-from wardspan.queries import analytics, evaluation, grid, joins, scoring, sets, windows  # noqa: F401
+from wardspan.queries import alerts, analytics, evaluation, grid, joins, scoring, sets, streams, windows  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

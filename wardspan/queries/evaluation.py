@@ -116,14 +116,14 @@ def _(t):
 
 @query(
     "group_cutpoint_ci",
-    f"""with {SCORE_ROWS}, x as (select user_id, (user_id % 4)::bigint as grp, floor(score * 20)::bigint as s from sc), {_boot_sql('user_id', 40, 2, 'x', ('grp',))},
+    f"""with {SCORE_ROWS}, x as (select user_id, (user_id % 4)::bigint as grp, floor(score * 200)::bigint as s from sc), {_boot_sql('user_id', 40, 2, 'x', ('grp',))},
     e as (select d.grp, replicate, s, sum(times) as w from x join draws d on x.user_id = d.user_id and x.grp = d.grp group by 1, 2, 3),
     c as (select grp, replicate, s, sum(w) over (partition by grp, replicate order by s) as upto, sum(w) over (partition by grp, replicate) as n from e),
     q as (select grp, replicate, min(s) filter (upto > floor(0.9 * (n - 1))) as lo, min(s) filter (upto > ceil(0.9 * (n - 1))) as hi, any_value(0.9 * (n - 1) - floor(0.9 * (n - 1))) as f from c group by 1, 2)
-    select grp, round(quantile_cont(lo + (hi - lo) * f, 0.025), 6) as high_lo, round(quantile_cont(lo + (hi - lo) * f, 0.975), 6) as high_hi from q group by 1""",
+    select grp, round(quantile_cont((lo + (hi - lo) * f)::double, 0.025), 6) as high_lo, round(quantile_cont((lo + (hi - lo) * f)::double, 0.975), 6) as high_hi from q group by 1""",
 )
 def _(t):
-    x = score_rows(t).select("user_id", (F.col("user_id") % 4).alias("grp"), F.floor(F.col("score") * 20).alias("s"))
+    x = score_rows(t).select("user_id", (F.col("user_id") % 4).alias("grp"), F.floor(F.col("score") * 200).alias("s"))
     times = S.bootstrap_counts(x, "user_id", ["grp"], 40, 2)
     per = x.groupBy("grp", "user_id", "s").agg(F.count(F.lit(1)).alias("c")).join(times, ["grp", "user_id"])
     q = exact_percentiles(per, ["grp", "replicate"], "s", {"q90": 0.9}, F.col("c") * F.col("times"))
