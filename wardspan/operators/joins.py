@@ -293,14 +293,14 @@ def semi(df: DataFrame, cohort: DataFrame, on: list[str]) -> DataFrame:
     return df.join(cohort.select(*on).distinct(), on, "left_semi")
 
 
-def asof_either(
+def asof_either_payload(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     ts: str,
     exact: str,
     day: str,
-    ident: str,
+    payload: str,
     before: tuple[int, int],
     after: tuple[int, int],
     names: tuple[str, str],
@@ -309,15 +309,15 @@ def asof_either(
 
     A right row with a time matches by ``before[0]``/``after[0]`` hours, one with only a day by
     ``before[1]``/``after[1]`` days. "First" is the earliest day, a timed row before an untimed
-    one, then the smallest ``ident``. Each of the four searches is a forward as-of from the
-    start of its window, so no candidate pairs are formed. ``day`` must be the day of ``exact``.
+    one, then the smallest ``payload.rank_id``. Each of the four searches is a forward as-of from
+    the start of its window, so no candidate pairs are formed. ``day`` must be the day of
+    ``exact``. The two results are structs of the payload.
     """
-    timed = right.filter(F.col(exact).isNotNull())
-    dated = right.filter(F.col(exact).isNull())
-    cols = ["__d", "__e", "__i"]
-    pick = {"__d": F.col(day), "__e": F.col(exact), "__i": F.col(ident)}
-    timed, dated = timed.withColumns(pick), dated.withColumns(pick)
-    tie = [-F.col(ident)]
+    r = right.select(*on, F.col(exact).alias("__e"), F.col(day).alias("__d"), F.col(payload).alias("__p"))
+    # a struct of negated numbers cannot be relied on, so the smallest rank per time is kept first
+    smallest = F.min_by("__p", F.col("__p.rank_id")).alias("__p")
+    timed = r.filter(F.col("__e").isNotNull()).groupBy(*on, "__e").agg(smallest, F.min("__d").alias("__d"))
+    dated = r.filter(F.col("__e").isNull()).groupBy(*on, "__d").agg(smallest)
     out = left.withColumn("__day", F.date_trunc("day", F.col(ts)).cast("timestamp_ntz"))
     far = F.lit("9999-01-01").cast("timestamp_ntz")
     for name, (hours, days), back in ((names[0], before, True), (names[1], after, False)):
@@ -328,19 +328,39 @@ def asof_either(
             }
         )
         out = asof_latest(
-            out, timed, on, "__from", exact, cols, hours * 3600, tie, strict=not back, direction="forward"
+            out, timed, on, "__from", "__e", ["__e", "__d", "__p"], hours * 3600, strict=not back, direction="forward"
         )
         ok = (F.col("__e") < F.col(ts)) if back else F.lit(True)
-        first = F.when(ok & F.col("__i").isNotNull(), F.struct("__d", F.coalesce("__e", far), "__i"))
-        out = out.withColumn("__m1", first).drop(*cols)
-        out = asof_latest(
-            out, dated, on, "__from_day", day, cols, days * 86400, tie, direction="forward"
-        )
-        second = F.when(F.col("__i").isNotNull(), F.struct("__d", F.coalesce("__e", far), "__i"))
-        out = out.withColumn(name, F.least(F.col("__m1"), second)["__i"]).drop(*cols, "__m1")
+        first = F.when(ok & F.col("__p").isNotNull(), F.struct("__d", F.col("__e").alias("__e"), "__p"))
+        out = out.withColumn("__m1", first).drop("__e", "__d", "__p")
+        out = asof_latest(out, dated, on, "__from_day", "__d", ["__d", "__p"], days * 86400, direction="forward")
+        second = F.when(F.col("__p").isNotNull(), F.struct("__d", far.alias("__e"), "__p"))
+        out = out.withColumn("__m2", second).drop("__d", "__p")
+        a, b = F.col("__m1"), F.col("__m2")
+        a_first = b.isNull() | (a["__d"] < b["__d"]) | ((a["__d"] == b["__d"]) & (a["__e"] <= b["__e"]))
+        pick = F.when(a.isNotNull() & a_first, a["__p"]).otherwise(b["__p"])
+        out = out.withColumn(name, pick).drop("__m1", "__m2")
     return out.drop("__day", "__from", "__from_day")
 
 
+def asof_either(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    ts: str,
+    exact: str,
+    day: str,
+    ident: str,
+    before: tuple[int, int],
+    after: tuple[int, int],
+    names: tuple[str, str],
+) -> DataFrame:
+    """As ``asof_either_payload`` with the ids of the matches, ties by the smallest id."""
+    r = right.withColumn("__pl", F.struct(F.col(ident).alias("rank_id")))
+    out = asof_either_payload(left, r, on, ts, exact, day, "__pl", before, after, names)
+    return out.withColumns({n: F.col(n)["rank_id"] for n in names})
+
+
 def boundary_hour_sums(
     df: DataFrame,
     keys: list[str],
