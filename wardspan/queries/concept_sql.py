@@ -72,8 +72,8 @@ SQL["bg"] = f"""with g as (select max(subject_id) as subject_id, max(hadm_id) as
    from chartevents where itemid = 223835 and valuenum > 0 and valuenum <= 100 group by 1, 2 having fc > 0),
  m as (select g.*, f.ft, f.fc from g asof left join f on g.subject_id = f.subject_id and g.charttime >= f.ft where po2 is not null),
  k as (select *, case when ft >= charttime - interval 4 hour then fc end as fio2_chartevents from m)
- select subject_id, hadm_id, charttime, specimen, so2, po2, pco2, round(fio2_chartevents, 6) as fio2_chartevents, round(fio2, 6) as fio2, aado2,
-  round(cast(coalesce(fio2, fio2_chartevents) / 100 * 713 - pco2 / 0.8 - po2 as decimal(38, 9)), 4)::double as aado2_calc, round(100 * po2 / coalesce(fio2, fio2_chartevents), 6) as pao2fio2ratio,
+ select subject_id, hadm_id, charttime, specimen, so2, po2, pco2, fio2_chartevents, fio2, aado2,
+  round(cast(coalesce(fio2, fio2_chartevents) / 100 * 713 - pco2 / 0.8 - po2 as decimal(38, 9)), 4)::double as aado2_calc, 100 * po2 / coalesce(fio2, fio2_chartevents) as pao2fio2ratio,
   ph, baseexcess, bicarbonate, totalco2, hematocrit, hemoglobin, carboxyhemoglobin, methemoglobin, chloride, calcium, temperature, potassium, sodium, lactate, glucose from k"""
 SQL["creatinine_baseline"] = """with p as (select a.hadm_id, gender, age, power(75.0 / 186.0 / power(age::double, -0.203) / case when gender = 'F' then 0.742 else 1 end, -1 / 1.154) as est from age a left join patients using (subject_id) where age >= 18),
  l as (select hadm_id, min(creatinine) as scr_min from chemistry group by 1),
@@ -84,7 +84,7 @@ SQL["creatinine_baseline"] = """with p as (select a.hadm_id, gender, age, power(
 
 def _avg(codes, lo, hi, closed=False):
     top = "" if hi is None else f" and valuenum {'<=' if closed else '<'} {hi}"
-    return f"round(avg(valuenum) filter (itemid in {_in(codes)} and valuenum > {lo}{top}), 6)"
+    return f"avg(valuenum) filter (itemid in {_in(codes)} and valuenum > {lo}{top})"
 
 
 SQL["vitalsign"] = f"""select subject_id, stay_id, charttime, {_avg([220045], 0, 300)} as heart_rate, {_avg([220179, 220050, 225309], 0, 400)} as sbp, {_avg([220180, 220051, 225310], 0, 300)} as dbp,
@@ -132,7 +132,7 @@ SQL["ventilator_setting"] = f"""select subject_id, max(stay_id) as stay_id, char
 
 _RATE = """case when itemid = 221906 and rateuom = 'mg/kg/min' and patientweight <> 1 then rate * 1000.0::double when itemid = 221749 and rateuom = 'mcg/min' then rate / patientweight when itemid = 222315 and rateuom = 'units/min' then rate * 60.0::double else rate end"""
 for _n, _i in B.AGENT_CODES.items():
-    SQL[_n] = f"select stay_id, linkorderid, round({_RATE}, 6) as vaso_rate, amount as vaso_amount, starttime, endtime from inputevents where itemid = {_i}"
+    SQL[_n] = f"select stay_id, linkorderid, {_RATE} as vaso_rate, amount as vaso_amount, starttime, endtime from inputevents where itemid = {_i}"
 SQL["neuroblock"] = "select stay_id, orderid, rate as drug_rate, amount as drug_amount, starttime, endtime from inputevents where itemid in (222062, 221555) and rate is not null"
 
 
@@ -144,7 +144,7 @@ for _n, _w in (("acei", B.ACEI), ("arb", B.ARB), ("nsaid", B.NSAID)):
     SQL[_n] = f"select subject_id, hadm_id, drug as {_n}, starttime, stoptime from prescriptions where {_like(_w)}"
 SQL["antibiotic"] = f"""with k as (select distinct drug, route from prescriptions where drug_type <> 'BASE' and route not in {_in(B.LOCAL_ROUTES)} and not {_like(['ear', 'eye'], 'route')} and not {_like(B.NOT_SYSTEMIC)} and {_like(B.ANTIBIOTIC)})
  select p.subject_id, p.hadm_id, stay_id, drug as antibiotic, route, starttime, stoptime from prescriptions p join k using (drug, route) left join icustays i on i.hadm_id = p.hadm_id and starttime >= intime and starttime < outtime"""
-SQL["vasoactive_agent"] = f"""with r as (select stay_id, itemid, starttime as s, endtime as e, round({_RATE}, 6) as rate from inputevents where itemid in {_in(B.AGENT_CODES.values())}),
+SQL["vasoactive_agent"] = f"""with r as (select stay_id, itemid, starttime as s, endtime as e, {_RATE} as rate from inputevents where itemid in {_in(B.AGENT_CODES.values())}),
  c as (select stay_id, s as mark from r union select stay_id, e from r), t as (select stay_id, mark as starttime, lead(mark) over (partition by stay_id order by mark) as endtime from c)
  select t.stay_id, t.starttime, t.endtime, {', '.join(f'r{i}.rate as {n}' for n, i in B.AGENT_CODES.items())} from t {' '.join(f'left join r r{i} on r{i}.itemid = {i} and t.stay_id = r{i}.stay_id and t.starttime >= r{i}.s and t.endtime <= r{i}.e' for i in B.AGENT_CODES.values())}
  where t.endtime is not null"""
@@ -238,7 +238,7 @@ SQL["first_day_weight"] = """select i.subject_id, i.stay_id, round(avg(weight) f
  from icustays i left join weight_durations w on w.stay_id = i.stay_id and w.starttime <= i.intime + interval 1 day group by 1, 2"""
 
 # --- organ failure and scores ------------------------------------------------------------------
-SQL["kdigo_creatinine"] = """with c as (select i.hadm_id, i.stay_id, l.charttime, round(avg(valuenum), 6) as creat from icustays i left join labevents l on l.subject_id = i.subject_id and itemid = 50912 and valuenum <= 150 and l.charttime between i.intime - interval 7 day and i.outtime group by 1, 2, 3)
+SQL["kdigo_creatinine"] = """with c as (select i.hadm_id, i.stay_id, l.charttime, avg(valuenum) as creat from icustays i left join labevents l on l.subject_id = i.subject_id and itemid = 50912 and valuenum <= 150 and l.charttime between i.intime - interval 7 day and i.outtime group by 1, 2, 3)
  select *, min(creat) over (partition by stay_id order by charttime range between interval 48 hour preceding and interval 1 microsecond preceding) as creat_low_past_48hr,
   min(creat) over (partition by stay_id order by charttime range between interval 7 day preceding and interval 1 microsecond preceding) as creat_low_past_7day from c"""
 SQL["kdigo_stages"] = """with cs as (select stay_id, charttime, creat_low_past_7day, creat_low_past_48hr, creat, case when creat >= creat_low_past_7day * 3.0::double then 3 when creat >= 4 and (creat >= creat_low_past_48hr + 0.3::double or creat >= 1.5::double * creat_low_past_7day) then 3
@@ -257,7 +257,7 @@ SQL["meld"] = """with x as (select i.subject_id, i.hadm_id, i.stay_id, creatinin
  select subject_id, hadm_id, stay_id, meld_initial, round(case when meld_initial > 11 then meld_initial + 1.32::double * na - 0.033::double * meld_initial * na else meld_initial end, 6) as meld, rrt, creatinine_max, bilirubin_total_max, inr_max, sodium_min from m"""
 SQL["sirs"] = """with s as (select i.subject_id, i.hadm_id, i.stay_id, case when temperature_min < 36 or temperature_max > 38 then 1 when temperature_min is not null then 0 end as temp_score, case when heart_rate_max > 90 then 1 when heart_rate_max is not null then 0 end as heart_rate_score,
    case when resp_rate_max > 20 or pco2_min < 32 then 1 when coalesce(resp_rate_max, pco2_min) is not null then 0 end as resp_score, case when wbc_min < 4 or wbc_max > 12 or bands_max > 10 then 1 when coalesce(wbc_min, bands_max) is not null then 0 end as wbc_score
-   from icustays i left join first_day_bg_art b on b.stay_id = i.stay_id left join first_day_vitalsign v on v.stay_id = i.stay_id left join first_day_lab l on l.stay_id = i.stay_id)
+   from icustays i left join (select stay_id, pco2_min from first_day_bg_art) b on b.stay_id = i.stay_id left join first_day_vitalsign v on v.stay_id = i.stay_id left join first_day_lab l on l.stay_id = i.stay_id)
  select *, coalesce(temp_score, 0) + coalesce(heart_rate_score, 0) + coalesce(resp_score, 0) + coalesce(wbc_score, 0) as sirs from s"""
 
 
@@ -289,11 +289,11 @@ def _slot(table, on, value, f, name, where=""):
 
 _hr = ["b_mbp", "b_gcs", "b_bili", "b_cr", "b_plt", "b_pn", "b_pv", "b_uo"]
 SQL["sofa"] = f"""with co as (select h.*, i.hadm_id, i.subject_id from icustay_hourly h join icustays i using (stay_id)),
- r as (select stay_id, itemid, starttime as s, endtime as e, round({_RATE}, 6) as rate from inputevents where itemid in {_in(S.PRESSORS.values())}),
+ r as (select stay_id, itemid, starttime as s, endtime as e, {_RATE} as rate from inputevents where itemid in {_in(S.PRESSORS.values())}),
  art as (select i.stay_id, b.charttime, b.pao2fio2ratio as pf, exists (select 1 from {_inv} v where v.stay_id = i.stay_id and b.charttime between vs and ve) as vent from icustays i join bg b on b.subject_id = i.subject_id and specimen = 'ART.'),
  u24 as (select stay_id, charttime, urineoutput_24hr / uo_tm_24hr * 24 as v from urine_output_rate where uo_tm_24hr between 22 and 30),
  va as (select h.stay_id, h.hr, {', '.join(f'max(rate) filter (itemid = {i}) as rate_{n}' for n, i in S.PRESSORS.items())} from co h join r on r.stay_id = h.stay_id and h.endtime > r.s and h.endtime <= r.e group by 1, 2),
- x as (select co.stay_id, co.hr, co.endtime - interval 1 hour as starttime, co.endtime, pn as pao2fio2ratio_novent, pv as pao2fio2ratio_vent, rate_epinephrine, rate_norepinephrine, rate_dopamine, rate_dobutamine, meanbp_min, gcs_min, round(uo_24hr, 6) as uo_24hr, bilirubin_max, creatinine_max, platelet_min
+ x as (select co.stay_id, co.hr, co.endtime - interval 1 hour as starttime, co.endtime, pn as pao2fio2ratio_novent, pv as pao2fio2ratio_vent, rate_epinephrine, rate_norepinephrine, rate_dopamine, rate_dobutamine, meanbp_min, gcs_min, uo_24hr, bilirubin_max, creatinine_max, platelet_min
    from co left join {_slot('vitalsign', 'stay_id', 'mbp', 'min', 'meanbp_min')} a using (stay_id, hr) left join {_slot('gcs', 'stay_id', 'gcs', 'min', 'gcs_min')} b using (stay_id, hr)
    left join {_slot('enzyme', 'hadm_id', 'bilirubin_total', 'max', 'bilirubin_max')} c using (stay_id, hr) left join {_slot('chemistry', 'hadm_id', 'creatinine', 'max', 'creatinine_max')} d using (stay_id, hr)
    left join {_slot('complete_blood_count', 'hadm_id', 'platelet', 'min', 'platelet_min')} e using (stay_id, hr) left join {_slot('art', 'stay_id', 'pf', 'min', 'pn', ' and not vent')} f using (stay_id, hr)
@@ -314,6 +314,141 @@ SQL["sepsis3"] = f"""with j as (select q.subject_id, q.stay_id, antibiotic_time,
    from suspicion_of_infection q join (select stay_id, endtime, sofa_24hours, {', '.join(f'{o}_24hours' for o in S.ORGANS)} from sofa where sofa_24hours >= 2) s on s.stay_id = q.stay_id and s.endtime between suspected_infection_time - interval 48 hour and suspected_infection_time + interval 24 hour)
  select * from j qualify row_number() over (partition by stay_id order by suspected_infection_time, antibiotic_time, culture_time, sofa_time) = 1"""
 
+
+# --- severity scores: bands as text, in the order they are tested ---------------------------------
+
+
+def _band(col: str, bands, op: str = "<") -> str:
+    steps = " ".join(f"when {col} {op} {b} then {v}" if b is not None else f"else {v}" for b, v in bands)
+    return f"case when {col} is null then null {steps} end"
+
+
+def _first(*rows, other="0") -> str:
+    return f"case {' '.join(f'when {c} then {v}' for c, v in rows)} else {other} end"
+
+
+_gas = "select i.stay_id, b.* exclude (subject_id), exists (select 1 from {inv} v where v.stay_id = i.stay_id and b.charttime between vs and ve) as vent from bg b join icustays i on i.hadm_id = b.hadm_id and b.charttime >= i.intime and b.charttime < i.outtime".format(inv=_inv)
+_vent1 = f"(select i.stay_id, max((v.vs is not null)::int) as vent from icustays i left join {_inv} v on v.stay_id = i.stay_id and vs <= intime + interval 1 day and ve >= intime group by 1)"
+_parts = lambda cols: " + ".join(f"coalesce({c}, 0)" for c in cols)
+
+_lods = {
+    "neurologic": _first(("gcs_min is null or gcs_min < 3", "null"), ("gcs_min <= 5", 5), ("gcs_min <= 8", 3), ("gcs_min <= 13", 1)),
+    "cardiovascular": _first(("heart_rate_max is null and sbp_min is null", "null"), ("heart_rate_min < 30 or sbp_min < 40", 5), ("sbp_min < 70 or sbp_max >= 270", 3), ("heart_rate_max >= 140 or sbp_max >= 240 or sbp_min < 90", 1)),
+    "renal": _first(("bun_max is null or urineoutput is null or creatinine_max is null", "null"), ("urineoutput < 500 or bun_max >= 56", 5), ("creatinine_max >= 1.6::double or urineoutput < 750 or bun_max >= 28 or urineoutput >= 10000", 3), ("creatinine_max >= 1.2::double or bun_max >= 7.5::double", 1)),
+    "pulmonary": _first(("pf is null", 0), ("pf >= 150", 1), other="3"),
+    "hematologic": _first(("wbc_max is null and platelets_min is null", "null"), ("wbc_min < 1", 3), ("wbc_min < 2.5::double or platelets_min < 50 or wbc_max >= 50", 1)),
+    "hepatic": _first(("pt_max is null and bilirubin_total_max is null", "null"), ("bilirubin_total_max >= 2 or pt_max > 15 or pt_min < 3", 1)),
+}
+_day1 = "left join first_day_gcs g on g.stay_id = i.stay_id left join first_day_vitalsign v on v.stay_id = i.stay_id left join first_day_urine_output u on u.stay_id = i.stay_id"
+SQL["lods"] = f"""with c as (select i.stay_id, min(charttime) - interval 1 hour as cs, max(charttime) + interval 4 hour as ce from icustays i join chartevents e on e.stay_id = i.stay_id and charttime between intime and intime + interval 1 day
+   where itemid = 226732 and (lower(value) like '%cpap%' or lower(value) like '%bipap mask%') group by 1),
+ q as (select q.stay_id, min(pao2fio2ratio) as pf from ({_gas}) q left join c on c.stay_id = q.stay_id where vent or charttime between cs and ce group by 1),
+ x as (select i.subject_id, i.hadm_id, i.stay_id, {', '.join(f'{e} as {n}' for n, e in _lods.items())} from icustays i left join q on q.stay_id = i.stay_id {_day1} left join first_day_lab l on l.stay_id = i.stay_id)
+ select *, {_parts(_lods)} as lods from x"""
+
+_or = {
+    "preiculos_score": _band("preiculos", [("10.2::double", 5), (297, 3), (1440, 0), (18708, 2), (None, 1)]),
+    "age_score": _first(("age is null", "null"), ("age < 24", 0), ("age <= 53", 3), ("age <= 77", 6), ("age <= 89", 9), other="7"),
+    "gcs_score": _first(("gcs is null", "null"), ("gcs <= 7", 10), ("gcs < 14", 4), ("gcs = 14", 3)),
+    "urineoutput_score": _first(("urineoutput is null", "null"), ("urineoutput < 671.09", 10), ("urineoutput > 6896.8", 8), ("urineoutput between 671.09 and 1426.99", 5), ("urineoutput between 1427 and 2544.14", 1)),
+    "mechvent_score": "case when mechvent = 1 then 9 else 0 end",
+    "electivesurgery_score": _first(("electivesurgery is null", "null"), ("electivesurgery = 1", 0), other="6"),
+}
+_t = lambda c: f"{c}::decimal(10, 2)"
+_ov = {
+    ("heart_rate_score", "heartrate", "heart_rate_max", "heart_rate_min", "heart_rate_max"): [("heart_rate_max > 125", 6, "heart_rate_max"), ("heart_rate_min < 33", 4, "heart_rate_min"), ("heart_rate_max between 107 and 125", 3, "heart_rate_max"), ("heart_rate_max between 89 and 106", 1, "heart_rate_max")],
+    ("mbp_score", "meanbp", "mbp_min", "mbp_min", "mbp_max"): [("mbp_min < 20.65::double", 4, "mbp_min"), ("mbp_min < 51", 3, "mbp_min"), ("mbp_max > 143.44::double", 3, "mbp_max"), ("mbp_min >= 51 and mbp_min < 61.33::double", 2, "mbp_min")],
+    ("resp_rate_score", "resprate", "resp_rate_min", "resp_rate_min", "resp_rate_max"): [("resp_rate_min < 6", 10, "resp_rate_min"), ("resp_rate_max > 44", 9, "resp_rate_max"), ("resp_rate_max > 30", 6, "resp_rate_max"), ("resp_rate_max > 22", 1, "resp_rate_max"), ("resp_rate_min < 13", 1, "resp_rate_min")],
+    ("temp_score", "temp", "temperature_max", "temperature_min", "temperature_max"): [(f"{_t('temperature_max')} > 39.88", 6, "temperature_max"), (f"{_t('temperature_min')} between 33.22 and 35.93", 4, "temperature_min"), (f"{_t('temperature_max')} between 33.22 and 35.93", 4, "temperature_max"),
+        (f"{_t('temperature_min')} < 33.22", 3, "temperature_min"), (f"{_t('temperature_min')} > 35.93 and {_t('temperature_min')} <= 36.39", 2, "temperature_min"), (f"{_t('temperature_max')} between 36.89 and 39.88", 2, "temperature_max")],
+}
+for (_sc, _sh, _miss, _lo, _hi), _rows in _ov.items():
+    _or[_sc] = _first((f"{_miss} is null", "null"), *[(c, v) for c, v, _ in _rows])
+_shown = {_sh: f"case when {_miss} is null then null {' '.join(f'when {c} then {v}' for c, _, v in _rows)} else ({_lo} + {_hi}) / 2 end" for (_sc, _sh, _miss, _lo, _hi), _rows in _ov.items()}
+SQL["oasis"] = f"""with s as (select i.stay_id, max(coalesce(lower(curr_service) like '%surg%' or curr_service = 'ORTHO', false)::int) as surg from icustays i left join services s on s.hadm_id = i.hadm_id and transfertime < intime + interval 1 day group by 1),
+ x as (select i.subject_id, i.hadm_id, i.stay_id, date_diff('minute', a.admittime, intime) as preiculos, age, gcs_min as gcs, heart_rate_max, heart_rate_min, mbp_max, mbp_min, resp_rate_max, resp_rate_min, temperature_max, temperature_min, vent as mechvent, urineoutput,
+   case when admission_type = 'ELECTIVE' and surg = 1 then 1 when admission_type is not null then 0 end as electivesurgery from icustays i join admissions a on a.hadm_id = i.hadm_id left join age ag on ag.hadm_id = i.hadm_id left join s on s.stay_id = i.stay_id {_day1} left join {_vent1} m on m.stay_id = i.stay_id),
+ y as (select subject_id, hadm_id, stay_id, age, preiculos, gcs, urineoutput, mechvent, electivesurgery, {', '.join(f'{e} as {n}' for n, e in _or.items())}, {', '.join(f'{e} as {n}' for n, e in _shown.items())} from x),
+ z as (select *, {_parts(_or)} as oasis from y) select *, 1 / (1 + exp(-(-6.1746::double + 0.1275::double * oasis))) as oasis_prob from z"""
+
+_w = lambda n, lo, hi: f"{n}_max >= {lo} and {n}_max < {hi} and {n}_min >= {lo} and {n}_min < {hi}"
+_sp = {
+    "age_score": _band("age", [(40, 0), (60, 7), (70, 12), (75, 15), (80, 16), (None, 18)]),
+    "hr_score": _first(("hr_max is null", "null"), ("hr_min < 40", 11), ("hr_max >= 160", 7), ("hr_max >= 120", 4), ("hr_min < 70", 2), (_w("hr", 70, 120), 0), other="null"),
+    "sysbp_score": _first(("sbp_min is null", "null"), ("sbp_min < 70", 13), ("sbp_min < 100", 5), ("sbp_max >= 200", 2), (_w("sbp", 100, 200), 0), other="null"),
+    "temp_score": _first(("temp_max >= 39", 3), ("temp_min < 39", 0), other="null"),
+    "pao2fio2_score": _band("pf", [(100, 11), (200, 9), (None, 6)]),
+    "uo_score": _band("uo", [(500, 11), (1000, 4), (None, 0)]),
+    "bun_score": _band("bun_max", [(28, 0), (84, 6), (None, 10)]),
+    "wbc_score": _first(("wbc_max is null", "null"), ("wbc_min < 1", 12), ("wbc_max >= 20", 3), (_w("wbc", 1, 20), 0), other="null"),
+    "potassium_score": _first(("potassium_min < 3 or potassium_max >= 5", 3), (_w("potassium", 3, 5), 0), other="null"),
+    "sodium_score": _first(("sodium_min < 125", 5), ("sodium_max >= 145", 1), (_w("sodium", 125, 145), 0), other="null"),
+    "bicarbonate_score": _first(("bicarbonate_max is null", "null"), ("bicarbonate_min < 15", 6), ("bicarbonate_min < 20", 3)),
+    "bilirubin_score": _band("bilirubin_max", [(4, 0), (6, 4), (None, 9)]),
+    "gcs_score": _first(("mingcs is null or mingcs < 3", "null"), ("mingcs < 6", 26), ("mingcs < 9", 13), ("mingcs < 11", 7), ("mingcs < 14", 5), ("mingcs <= 15", 0), other="null"),
+    "comorbidity_score": _first(("aids = 1", 17), ("hem = 1", 10), ("mets = 1", 9)),
+    "admissiontype_score": _first(("admission_type = 'ELECTIVE' and surg = 1", 0), ("admission_type <> 'ELECTIVE' and surg = 1", 8), other="6"),
+}
+_d1 = lambda t, on, aggs: f"(select i.stay_id, {aggs} from icustays i join {t} e on e.{on} = i.{on} and e.charttime > i.intime and e.charttime <= i.intime + interval 24 hour group by 1)"
+_mx = lambda d: ", ".join(f"min(e.{c}) as {n}_min, max(e.{c}) as {n}_max" for n, c in d.items())
+SQL["sapsii"] = f"""with cp as (select i.subject_id, greatest(min(charttime) - interval 1 hour, intime) as cs, least(max(charttime) + interval 4 hour, intime + interval 24 hour) as ce from icustays i join chartevents e on e.stay_id = i.stay_id and charttime > intime and charttime <= intime + interval 24 hour
+   where itemid = 226732 and regexp_matches(lower(value), 'cpap mask|bipap') group by i.subject_id, i.stay_id, intime),
+ p as (select i.stay_id, pao2fio2ratio as pf, exists (select 1 from {_inv} v where v.stay_id = i.stay_id and b.charttime > vs and b.charttime <= ve) or exists (select 1 from cp where cp.subject_id = i.subject_id and b.charttime > cs and b.charttime <= ce) as sup
+   from icustays i join bg b on b.subject_id = i.subject_id and specimen = 'ART.' and b.charttime > intime and b.charttime <= intime + interval 24 hour),
+ q as (select stay_id, min(pf) as pf from p where sup group by 1), sv as (select hadm_id, arg_min((lower(curr_service) like '%surg%')::int, (transfertime, curr_service)) as surg from services group by 1),
+ dx as (select hadm_id, {', '.join(f'{_icd(n, t)} as {k}' for k, (n, t) in S.SAPS_CODES.items())} from diagnoses_icd group by 1),
+ x as (select i.subject_id, i.hadm_id, i.stay_id, i.intime as starttime, i.intime + interval 24 hour as endtime, {', '.join(f'{e} as {n}' for n, e in _sp.items())} from icustays i join admissions a on a.hadm_id = i.hadm_id left join age ag on ag.hadm_id = i.hadm_id left join q on q.stay_id = i.stay_id
+   left join sv on sv.hadm_id = i.hadm_id left join dx on dx.hadm_id = i.hadm_id left join {_d1('gcs', 'stay_id', 'min(e.gcs) as mingcs')} g on g.stay_id = i.stay_id left join {_d1('vitalsign', 'subject_id', _mx({'hr': 'heart_rate', 'sbp': 'sbp', 'temp': 'temperature'}))} v on v.stay_id = i.stay_id
+   left join {_d1('urine_output', 'stay_id', 'sum(e.urineoutput) as uo')} u on u.stay_id = i.stay_id left join {_d1('chemistry', 'subject_id', _mx({k: k for k in ('bun', 'potassium', 'sodium', 'bicarbonate')}))} c on c.stay_id = i.stay_id
+   left join {_d1('complete_blood_count', 'subject_id', _mx({'wbc': 'wbc'}))} w on w.stay_id = i.stay_id left join {_d1('enzyme', 'subject_id', _mx({'bilirubin': 'bilirubin_total'}))} z on z.stay_id = i.stay_id),
+ y as (select *, {_parts(_sp)} as sapsii from x) select *, 1 / (1 + exp(-(-7.7631::double + 0.0737::double * sapsii + 0.9971::double * ln(sapsii + 1)))) as sapsii_prob from y"""
+
+
+def _aps(name: str, col: str) -> str:
+    bands = [(f"{b}::double" if b is not None else None, v) for b, v in S.APS_BANDS[name][1]]
+    e = _band(col, bands)
+    if name == "resp_rate":
+        e = f"case when vent = 1 and {col} < 14 then 0 else {e} end"
+    if name == "creatinine":
+        e = f"case when arf and {col} < 1.5::double then 0 when arf and {col} >= 1.5::double then 10 else {e} end"
+    return e
+
+
+_as = {}
+for _k, (_src, _b, _ref) in S.APS_BANDS.items():
+    _h, _l = f"{_src}_max", f"{_src}_min"
+    if _ref is None:
+        _as[f"{_k}_score"] = f"case when {_h} is not null then {_aps(_k, _h)} end"
+    else:
+        _worse = f"case when abs({_h} - {_ref}::double) > abs({_l} - {_ref}::double) then {_aps(_k, _h)} when abs({_h} - {_ref}::double) < abs({_l} - {_ref}::double) then {_aps(_k, _l)} else greatest({_aps(_k, _h)}, {_aps(_k, _l)}) end"
+        _as[f"{_k}_score"] = f"case when {_h} is null then null {f'when arf then {_aps(_k, _h)}' if _k == 'creatinine' else ''} else {_worse} end"
+_as["uo_score"] = _band("urineoutput", S.URINE_BANDS)
+_as["pao2_aado2_score"] = f"case when pao2 is not null then {_band('pao2', S.PAO2_BANDS)} else {_band('aado2', S.AADO2_BANDS)} end"
+_e1 = [("1", "1, 2", 48), ("1", "3, 4", 33), ("1", "5, 6", 16), ("2, 3", "1, 2", 29), ("2, 3", "3, 4", 24)]
+_e2 = [("1", "1, 2", 29), ("1", "3, 4", 24), ("1", "5, 6", 15), ("2, 3", "1, 2", 29), ("2, 3", "3, 4", 24), ("2, 3", "5", 13), ("2, 3", "6", 10), ("4", "1, 2, 3, 4", 13), ("4", "5", 8), ("4", "6", 3), ("5", "1, 2, 3, 4, 5", 3), ("5", "6", 0)]
+_coma = lambda rows: "case " + " ".join(f"when gcs_verbal in ({v}) and gcs_motor in ({m}) then {p}" for v, m, p in rows) + " end"
+_as["gcs_score"] = f"case when gcs_unable = 1 then 0 when gcs_eyes = 1 then {_coma(_e1)} when gcs_eyes > 1 then {_coma(_e2)} end"
+_acid = "case " + " ".join((f"when ph < {b}::double then " if b is not None else "else ") + _band("pco2", bands) for b, bands in S.ACID_BANDS) + " end"
+SQL["apsiii"] = f"""with q as (select stay_id, max(po2) filter (not vent and coalesce(fio2, fio2_chartevents, 21) < 50) as pao2, max(aado2) filter (vent and coalesce(fio2, fio2_chartevents) >= 50) as aado2, max(case when ph is not null and pco2 is not null then {_acid} end) as acidbase_score
+   from ({_gas}) where specimen = 'ART.' group by 1), k as (select hadm_id, {_icd('5854 5855 5856', 'N184 N185 N186')} as ckd from diagnoses_icd group by 1),
+ x as (select i.subject_id, i.hadm_id, i.stay_id, q.pao2, q.aado2, acidbase_score, v.* exclude (subject_id, stay_id, glucose_min, glucose_max), l.* exclude (subject_id, stay_id, glucose_min, glucose_max), greatest(l.glucose_max, v.glucose_max) as glucose_max, least(l.glucose_min, v.glucose_min) as glucose_min,
+   urineoutput, gcs_motor, gcs_verbal, gcs_eyes, gcs_unable, vent, coalesce(creatinine_max >= 1.5::double and urineoutput < 410 and ckd = 0, false) as arf from icustays i left join q on q.stay_id = i.stay_id left join k on k.hadm_id = i.hadm_id
+   {_day1} left join first_day_lab l on l.stay_id = i.stay_id left join {_vent1} m on m.stay_id = i.stay_id),
+ y as (select subject_id, hadm_id, stay_id, acidbase_score, {', '.join(f'{e} as {n}' for n, e in _as.items())} from x),
+ z as (select *, {_parts([*_as, 'acidbase_score'])} as apsiii from y) select *, 1 / (1 + exp(-(-4.436::double + 0.04726::double * apsiii))) as apsiii_prob from z"""
+
+# computed columns that are rounded only in the final result
+_mean8 = [f"{v}_{m}" for v in _vs for m in ("min", "max")]
+ROUNDED = {
+    "vitalsign": ["heart_rate", "sbp", "dbp", "mbp", "sbp_ni", "dbp_ni", "mbp_ni", "resp_rate", "spo2", "glucose"],
+    "first_day_vitalsign": _mean8, "bg": ["fio2_chartevents", "fio2", "pao2fio2ratio"],
+    "kdigo_creatinine": ["creat", "creat_low_past_48hr", "creat_low_past_7day"], "kdigo_stages": ["creat", "creat_low_past_48hr", "creat_low_past_7day"],
+    "sofa": ["pao2fio2ratio_novent", "pao2fio2ratio_vent", "rate_epinephrine", "rate_norepinephrine", "rate_dopamine", "rate_dobutamine", "meanbp_min", "uo_24hr"],
+    "vasoactive_agent": list(B.AGENT_CODES), **{n: ["vaso_rate"] for n in B.AGENT_CODES},
+    "first_day_bg": ["pao2fio2ratio_min", "pao2fio2ratio_max"], "first_day_bg_art": ["pao2fio2ratio_min", "pao2fio2ratio_max"],
+    "oasis": ["oasis_prob", "heartrate", "meanbp", "resprate", "temp"], "sapsii": ["sapsii_prob"], "apsiii": ["apsiii_prob"],
+}
+
 _RAW = duck_raw()
 _ALL = {**_RAW, **SQL}
 
@@ -337,4 +472,5 @@ def oracle(name: str) -> str:
 
     visit(name)
     ctes = ",\n".join(f"{n} as ({_ALL[n]})" for n in order)
-    return f"with {ctes}\nselect * from {name}"
+    rounded = ", ".join(f"round({c}, 6) as {c}" for c in ROUNDED.get(name, ()))
+    return f"with {ctes}\nselect *{f' replace ({rounded})' if rounded else ''} from {name}"
