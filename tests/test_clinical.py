@@ -182,3 +182,25 @@ def test_return_cohort_rules(spark):
     assert set(naive) == {1, 2, 4} and naive[1]["readmit_30d"] == 1 and naive[2]["n_prior_admissions"] == 1
     assert naive[2]["n_prior_admissions_365d"] == 1 and naive[4]["excluded_died_before_readmit"]
     assert [r["hadm_id"] for r in L.return_cohort(a, p).collect()] == [1]
+
+
+def test_every_resource_kind_is_shaped(spark):
+    from wardspan.plans import resources as R
+
+    row = spark.sql(
+        """select 1 as subject_id, 10 as hadm_id, 100 as stay_id, 'M' as gender, timestamp_ntz'2150-01-01 00:00:00' as admittime, cast(null as timestamp_ntz) as dischtime,
+        'EW EMER.' as admission_type, 2 as seq_num, 'I21' as icd_code, 10 as icd_version, 'a  b' as long_title, date'2150-01-01' as chartdate, 'Sodium  Chloride' as drug, cast(null as string) as route,
+        timestamp_ntz'2150-01-01 00:00:00' as starttime, 'sys' as code_system, 'c' as code, '' as display, 'ICUStay/1' as patient_ref, timestamp_ntz'2150-01-01 00:00:00' as effective_time, 1.5D as value, 'u' as unit,
+        'd1' as device_id, array('imputed') as quality_flags, 'high' as tier_icu, array('why') as reason, 'Discharge' as note_type, 'text [F001]' as note_text, 'watch' as device_type,
+        timestamp_ntz'2150-01-01 00:00:00' as ecg_time, 5 as study_id, 'a9' as alert_id, timestamp_ntz'2150-01-01 00:00:00' as sent, 'msg' as message"""
+    )
+    kinds = "Patient Encounter Condition Procedure MedicationAdministration Observation RiskAssessment DocumentReference Device DiagnosticReport Communication".split()
+    import json
+
+    out = {k: json.loads(R.to_resources(row, k).first()["resource"]) for k in kinds}
+    assert all(v["resourceType"] == k for k, v in out.items())
+    assert out["MedicationAdministration"]["medicationCodeableConcept"]["coding"][0] == {"system": "urn:record:drug-name", "code": "Sodium Chloride", "display": "Sodium  Chloride"}
+    assert out["Encounter"]["class"] == "EMER" and out["Encounter"]["status"] == "in-progress" and "dosage" not in out["MedicationAdministration"]
+    assert out["Observation"]["note"][0]["text"] == "quality_flags: imputed"
+    both = R.to_resources(row, "Condition").select("hadm_id", "seq_num", "resource").unionByName(R.to_resources(row, "Procedure").select("hadm_id", "seq_num", "resource"))
+    assert R.bundles(both, "hadm_id", "seq_num").first()["n"] == 2

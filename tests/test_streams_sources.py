@@ -96,8 +96,8 @@ def test_csv_by_name_with_missing_and_extra_columns(spark, tmp_path):
     rows = sorted((r["subject_id"], r["anchor_age"], r["gender"]) for r in cat["patients"].collect())
     assert rows == [(7, 61, None), (8, None, None)]
     digest = hashlib.sha256((folder / "patients.csv.gz").read_bytes()).hexdigest()
-    man = spark.createDataFrame([("patients.csv.gz", digest), ("gone.csv.gz", "00")], "file string, sha256 string")
-    assert {r["file"]: r["status"] for r in ST.verify_checksums(spark, str(tmp_path), man).collect()} == {"patients.csv.gz": "ok", "gone.csv.gz": "missing"}
+    man = spark.createDataFrame([("hosp/patients.csv.gz", digest), ("gone.csv.gz", "00")], "file string, sha256 string")
+    assert {r["file"]: r["status"] for r in ST.verify_checksums(spark, str(tmp_path), man).collect()} == {"hosp/patients.csv.gz": "ok", "gone.csv.gz": "missing"}
     assert {r["table_name"]: r["status"] for r in ST.survey_files(spark, str(tmp_path), ["patients", "poe"]).collect()} == {"patients": "present", "poe": "missing"}
 
 

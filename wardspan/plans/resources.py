@@ -9,8 +9,8 @@ from wardspan.functions.codes import code_token
 
 # fixed values: the identifier system each resource type is keyed on
 IDENTIFIERS = {
-    "Patient": "urn:mimic-iv:subject_id", "Encounter": "urn:mimic-iv:hadm_id", "Device": "urn:device_id",
-    "DiagnosticReport": "urn:mimic-iv-ecg:study_id",
+    "Patient": "urn:record:subject_id", "Encounter": "urn:record:hadm_id", "Device": "urn:device_id",
+    "DiagnosticReport": "urn:record:study_id",
 }
 ICD_SYSTEM = {9: "http://hl7.org/fhir/sid/icd-9-cm", 10: "http://hl7.org/fhir/sid/icd-10-cm"}
 ICD_PROCEDURE = {9: "http://hl7.org/fhir/sid/icd-9-cm", 10: "http://hl7.org/fhir/sid/icd-10-pcs"}
@@ -64,9 +64,9 @@ def shape(kind: str) -> list[Column]:
             x("chartdate").cast("string").alias("performedDateTime"),
         ],
         "MedicationAdministration": lambda: [
-            text("completed").alias("status"), concept_of(text("urn:mimic-iv:drug-name"), x("drug"), x("drug")).alias("medicationCodeableConcept"),
+            text("completed").alias("status"), concept_of(text("urn:record:drug-name"), x("drug"), x("drug")).alias("medicationCodeableConcept"),
             subject, encounter.alias("context"), utc(x("starttime")).alias("effectiveDateTime"),
-            F.when(x("route").isNotNull(), F.struct(concept_of(text("urn:mimic-iv:route"), x("route"), x("route")).alias("route"))).alias("dosage"),
+            F.when(x("route").isNotNull(), F.struct(concept_of(text("urn:record:route"), x("route"), x("route")).alias("route"))).alias("dosage"),
         ],
         "Observation": lambda: [
             text("final").alias("status"), concept_of(x("code_system"), x("code"), F.coalesce(F.nullif(x("display"), text("")), x("code"))).alias("code"),

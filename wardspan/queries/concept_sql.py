@@ -460,6 +460,12 @@ def _needs(body: str) -> list[str]:
 
 def oracle(name: str) -> str:
     """The body with every table it reads, directly or not, as common table expressions."""
+    rounded = ", ".join(f"round({c}, 6) as {c}" for c in ROUNDED.get(name, ()))
+    return f"{tables([name])}\nselect *{f' replace ({rounded})' if rounded else ''} from {name}"
+
+
+def tables(names: list[str]) -> str:
+    """A ``with`` clause that defines the named tables and all they read."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -470,7 +476,6 @@ def oracle(name: str) -> str:
                 visit(m)
         order.append(n)
 
-    visit(name)
-    ctes = ",\n".join(f"{n} as ({_ALL[n]})" for n in order)
-    rounded = ", ".join(f"round({c}, 6) as {c}" for c in ROUNDED.get(name, ()))
-    return f"with {ctes}\nselect *{f' replace ({rounded})' if rounded else ''} from {name}"
+    for name in names:
+        visit(name)
+    return "with " + ",\n".join(f"{n} as ({_ALL[n]})" for n in order)

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardspan.evaluation import models as ML
+from wardspan.functions.codes import CHAPTERS_9, CHAPTERS_10
 from wardspan.operators import sampling as S
 from wardspan.plans import features as FT
 from wardspan.plans import labels as L
 from wardspan.plans import scoring as SC
-from wardspan.queries.concept_sql import oracle
+from wardspan.queries.concept_sql import tables
 from wardspan.queries.concepts import catalog, tidy
 from wardspan.queries.evaluation import score_rows
 from wardspan.queries.registry import Tables, query
 
-_RAW_CTE = oracle("icustay_times").rsplit("\nselect * from", 1)[0]
+_RAW_CTE = tables(["icustay_times"])
 _P = ", ".join(f"avg(valuenum) filter (itemid = {i}) as {n}" for i, n in SC.GRID_ITEMS.items())
-_GRID = f"""{_RAW_CTE}, pv as (select e.stay_id, cast(floor((epoch_us(charttime) - epoch_us(intime)) / 3600000000.0) as bigint) as hour, {_P} from chartevents e join icustays i on e.stay_id = i.stay_id
+_GRID_BODY = f"""pv as (select e.stay_id, cast(floor((epoch_us(charttime) - epoch_us(intime)) / 3600000000.0) as bigint) as hour, {_P} from chartevents e join icustays i on e.stay_id = i.stay_id
     where itemid in ({', '.join(map(str, SC.GRID_ITEMS))}) and charttime >= intime group by 1, 2 having count(valuenum) > 0),
   rg as (select * replace (coalesce(temp_c, (temp_f - 32) * 5.0::double / 9) as temp_c), gcs_eye + gcs_verbal + gcs_motor as gcs_total, coalesce(sbp_art, sbp_ni) as sbp, coalesce(map_art, map_ni) as map from pv)"""
+_GRID = f"{_RAW_CTE}, {_GRID_BODY}"
 _COLS = ["hr", "rr", "spo2", "sbp", "map", "temp_c", "gcs_total", "fio2", "glucose"]
 _FILL = _GRID + ", fg as (select stay_id, hour, " + ", ".join(
     f"last_value({c} ignore nulls) over w as {c}, ({c} is null and last_value({c} ignore nulls) over w is not null) as {c}_was_imputed, hour - last_value(case when {c} is not null then hour end ignore nulls) over w as {c}_hours_since_last_obs"
@@ -89,7 +91,17 @@ def _(t):
     return SC.group_cut_points(g, "stay_id", "dx_group", n_boot=50)
 
 
-@query("disease_chapter_counts")
+_CH9 = " ".join(f"when try_cast(substr(code, 1, 3) as integer) between 1 and {n} then '{name}'" for n, name in CHAPTERS_9)
+_CH10 = " ".join(f"when substr(code, 1, 1) in ({', '.join(repr(x) for x in ls)}) then '{name}'" for name, ls in CHAPTERS_10.items())
+
+
+@query(
+    "disease_chapter_counts",
+    f"""{tables(["icustays", "diagnoses_icd"])}, p as (select hadm_id, min(icd_code) as code, arg_min(icd_version, (icd_code, icd_version)) as v from diagnoses_icd where seq_num = 1 group by 1),
+    d as (select subject_id, stay_id, coalesce(p.code, '') as code, coalesce(case when v = 10 then case {_CH10} end when v = 9 then case when code like 'V%' then 'Factors/Encounter' when code like 'E%' then 'External causes' {_CH9} end end, 'Unknown') as dx_chapter
+      from icustays i left join p on p.hadm_id = i.hadm_id)
+    select dx_chapter, count(distinct stay_id) as stays, count(distinct subject_id) as subjects, count(distinct code) as distinct_codes from d group by 1""",
+)
 def _(t):
     return SC.chapter_counts(SC.disease_context(catalog(t)))
 
@@ -108,7 +120,17 @@ def clinical_labels(t: Tables):
     return L.at_risk_labels(grid(t), stays, events, [6, 12])
 
 
-@query("clinical_labels")
+@query(
+    "clinical_labels",
+    f"""{tables(["icustay_times", "icustay_detail", "vasoactive_agent", "ventilation"])}, {_GRID_BODY},
+  dt as (select stay_id, dischtime - interval 2 hour as et, 'death' as kind from icustay_detail where hospital_expire_flag = 1 qualify row_number() over (partition by hadm_id order by icustay_seq desc, stay_id desc) = 1),
+  nx as (select stay_id, icu_outtime, icustay_seq, lead(icu_intime) over w as et, lead(icustay_seq) over w as sq from icustay_detail window w as (partition by hadm_id order by icustay_seq, stay_id)),
+  ev as (select * from dt union all select stay_id, min(starttime), 'vasopressor' from vasoactive_agent group by 1 union all select stay_id, min(starttime), 'ventilation' from ventilation where ventilation_status = 'InvasiveVent' group by 1
+    union all select stay_id, et, 'icu_readmission' from nx where sq = icustay_seq + 1 and date_diff('minute', icu_outtime, et) / 60.0 <= 72),
+  fe as (select stay_id, min(et) as event_time, arg_min(kind, (et, kind)) as event_type from ev group by 1)
+  select rg.stay_id, rg.hour, event_time, event_type, (event_time is not null and event_time <= intime + to_hours(hour + 6))::int as label_6h, (event_time is not null and event_time <= intime + to_hours(hour + 12))::int as label_12h
+  from rg join icustays i on i.stay_id = rg.stay_id left join fe on fe.stay_id = rg.stay_id where event_time is null or event_time > intime + to_hours(hour)""",
+)
 def _(t):
     return clinical_labels(t)
 

@@ -8,6 +8,7 @@ from wardspan.functions import text as X
 from wardspan.plans import facts as FA
 from wardspan.plans import resources as RS
 from wardspan.queries.analytics import r
+from wardspan.queries.concept_sql import tables
 from wardspan.queries.concepts import catalog
 from wardspan.queries.grid import CUT_SQL, tiered_grid
 from wardspan.queries.registry import query
@@ -137,7 +138,22 @@ def _(t):
     )
 
 
-@query("facts_table")
+@query(
+    "facts_table",
+    tables(["admissions", "prescriptions", "microbiologyevents", "services", "sofa"]) + """,
+    n as (select hadm_id, drug, row_number() over (partition by hadm_id order by count(*) desc, drug) as rn from prescriptions group by 1, 2 qualify rn <= 20),
+    md as (select hadm_id, drug, route from prescriptions group by 1, 2, 3 qualify row_number() over (partition by hadm_id, drug order by count(*) desc, route) = 1),
+    mi as (select *, row_number() over (partition by hadm_id order by chartdate, micro_specimen_id, org_name) as rn from microbiologyevents where org_name is not null qualify rn <= 10),
+    s0 as (select hadm_id, transfertime as ts, min(curr_service) as s from services group by 1, 2), sv as (select *, lag(s) over (partition by hadm_id order by ts) as p from s0),
+    f as (select hadm_id, 1 as family, '1' as k, 'Admitted as ' || lower(admission_type) || ' via clinic referral.' as text from admissions
+      union all select hadm_id, 1, '2', 'Length of hospital stay: ' || date_diff('day', admittime, dischtime) || ' day(s).' from admissions
+      union all select hadm_id, 1, '3', case when hospital_expire_flag = 1 then 'Patient died during this hospitalization.' else 'Discharged alive to: home.' end from admissions
+      union all select hadm_id, 4, printf('%03d', rn), 'Medication administered (' || lower(route) || '): ' || drug || '.' from n join md using (hadm_id, drug)
+      union all select hadm_id, 5, printf('%03d', rn), org_name || ' isolated from ' || lower(spec_type_desc) || '.' from mi
+      union all select hadm_id, 7, '1', 'Clinical service assignment over the stay: ' || string_agg(s, ' -> ' order by ts) || '.' from sv where p is null or p <> s group by hadm_id
+      union all select hadm_id, 10, '0', 'Peak sofa score: ' || max(sofa_24hours) || '.' from sofa join icustays using (stay_id) group by hadm_id)
+    select hadm_id, family, text, 'F' || printf('%03d', row_number() over (partition by hadm_id order by family, k)) as fact_id from f""",
+)
 def _(t):
     c = catalog(t)
     adm = c("admissions").withColumns({"edregtime": F.lit(None).cast("timestamp_ntz"), "admission_location": F.lit("CLINIC REFERRAL")})
@@ -148,7 +164,7 @@ def _(t):
         FA.path_facts(services, 7, "transfertime", "curr_service", "services", "Clinical service assignment over the stay: "),
         *FA.score_facts({"sofa": sofa}),
     ]
-    return FA.number_facts(parts)
+    return FA.number_facts(parts).select("hadm_id", "family", "text", "fact_id")
 
 
 @query(
@@ -172,7 +188,7 @@ def _(t):
 
 @query(
     "reference_rewrite",
-    """select c_custkey, case c_custkey % 4 when 0 then 'Patient?identifier=urn:mimic-iv:subject_id|' || c_custkey when 1 then 'ICUStay/' || c_custkey when 2 then 'Encounter?identifier=urn:mimic-iv:hadm_id|' || c_custkey else 'Device' end as reference from customer""",
+    """select c_custkey, case c_custkey % 4 when 0 then 'Patient?identifier=urn:record:subject_id|' || c_custkey when 1 then 'ICUStay/' || c_custkey when 2 then 'Encounter?identifier=urn:record:hadm_id|' || c_custkey else 'Device' end as reference from customer""",
 )
 def _(t):
     k = F.col("c_custkey")

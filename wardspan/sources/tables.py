@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,10 +126,19 @@ def survey_files(spark: SparkSession, folder: str, expected: Sequence[str]) -> D
     return out.withColumn("status", F.when(F.col("bytes").isNotNull(), "present").otherwise("missing"))
 
 
+def below(folder: str) -> Column:
+    """Path of a file relative to the folder it was loaded from."""
+    root = folder.rstrip("/").split("://")[-1].lstrip("/")
+    return F.regexp_replace("path", rf"^.*\Q{root}\E/", "")
+
+
 def verify_checksums(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Compare sha256 of every file with a manifest of (file, sha256): ok, changed or missing."""
+    """Compare sha256 of every file with a manifest of (file, sha256): ok, changed or missing.
+
+    Files are named by their path below the folder.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    name = below(folder)
     got = f.select(name.alias("file"), F.sha2("content", 256).alias("actual"), F.col("length").alias("bytes"))
     out = manifest.join(got, "file", "left")
     status = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.lower("sha256"), "ok").otherwise("changed")
