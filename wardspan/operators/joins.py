@@ -383,21 +383,19 @@ def boundary_hour_sums(
     out = df.withColumn("__hr", unit_index("hour", ts))
     own = Window.partitionBy(*keys, "__hr").orderBy(epoch_us(ts)).rangeBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({f"__own_{n}": F.sum(c).over(own) for n, c in sums.items()})
-    for w, hours in boundary.items():
-        out = rolling_range(
-            out, keys, F.col("__hr"), -hours, -1, {f"__b_{n}": F.sum(c) for n, c in sums.items()}
-        )
+    hourly = {f"__b_{n}_{w}": (F.sum(c), -h, -1) for w, h in boundary.items() for n, c in sums.items()}
+    if hourly:
+        out = rolling_range(out, keys, F.col("__hr"), 0, 0, hourly)
         both = {
             f"{n}_{w}": F.when(
-                F.col(f"__own_{n}").isNotNull() | F.col(f"__b_{n}").isNotNull(),
-                F.coalesce(f"__own_{n}", F.lit(0)) + F.coalesce(f"__b_{n}", F.lit(0)),
+                F.col(f"__own_{n}").isNotNull() | F.col(f"__b_{n}_{w}").isNotNull(),
+                F.coalesce(f"__own_{n}", F.lit(0)) + F.coalesce(f"__b_{n}_{w}", F.lit(0)),
             )
+            for w in boundary
             for n in sums
         }
-        out = out.withColumns(both).drop(*[f"__b_{n}" for n in sums])
-    for w, hours in exact_hours.items():
-        out = rolling_range(
-            out, keys, epoch_us(ts), -hours * 3_600_000_000, 0,
-            {f"{n}_{w}": F.sum(c) for n, c in sums.items()},
-        )
+        out = out.withColumns(both).drop(*hourly)
+    exact = {f"{n}_{w}": (F.sum(c), -h * 3_600_000_000, 0) for w, h in exact_hours.items() for n, c in sums.items()}
+    if exact:
+        out = rolling_range(out, keys, epoch_us(ts), 0, 0, exact)
     return out.drop("__hr", *[f"__own_{n}" for n in sums])

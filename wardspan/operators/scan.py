@@ -140,29 +140,39 @@ def row_numbers(
     return out.withColumn(name, F.col(name).cast("long"))
 
 
+Frames = dict[str, "Column | tuple[Column, int, int]"]
+
+
+def _framed(aggs: Frames, lo: int, hi: int) -> dict[str, tuple[Column, int, int]]:
+    return {n: a if isinstance(a, tuple) else (a, lo, hi) for n, a in aggs.items()}
+
+
 def rolling_range(
     df: DataFrame,
     keys: list[str],
     at: Column,
     lo: int,
     hi: int,
-    aggs: dict[str, Column],
+    aggs: Frames,
     slice_width: int | None = None,
 ) -> DataFrame:
     """Aggregates over rows whose integer position lies in ``[at+lo, at+hi]``.
 
     The axis ``at`` is cut into slices; rows within reach of a neighbouring slice are copied to
     it, so every frame is complete inside its slice. Peers of the current row are in the frame.
+    An aggregate given as ``(expression, lo, hi)`` has a frame of its own; all share one shuffle.
     """
-    reach_back, reach_on = max(-lo, 0), max(hi, 0)
+    framed = _framed(aggs, lo, hi)
+    reach_back = max([-f[1] for f in framed.values()] + [0])
+    reach_on = max([f[2] for f in framed.values()] + [0])
     width = slice_width or max(4 * max(reach_back, reach_on), 1)
     d = df.withColumn("__at", at)
     first = F.floor((F.col("__at") - reach_on) / F.lit(width)).cast("long")
     final = F.floor((F.col("__at") + reach_back) / F.lit(width)).cast("long")
     d = d.withColumn(BUCKET, F.explode(F.sequence(first, final)))
     own = F.floor(F.col("__at") / F.lit(width)).cast("long") == F.col(BUCKET)
-    w = Window.partitionBy(*keys, BUCKET).orderBy("__at").rangeBetween(lo, hi)
-    d = d.withColumns({n: a.over(w) for n, a in aggs.items()})
+    w = Window.partitionBy(*keys, BUCKET).orderBy("__at")
+    d = d.withColumns({n: c.over(w.rangeBetween(a, b)) for n, (c, a, b) in framed.items()})
     return d.filter(own).drop(BUCKET, "__at")
 
 
@@ -173,23 +183,26 @@ def rolling_rows(
     bucket: Column,
     lo: int,
     hi: int,
-    aggs: dict[str, Column],
+    aggs: Frames,
     block: int | None = None,
 ) -> DataFrame:
     """Aggregates over the rows ``lo..hi`` around each row (offsets, both at most 0).
 
-    Rows are numbered by a bucketed scan and cut into blocks of equal row count; the last
-    ``-lo`` rows of a block are copied to the next one.
+    Rows are numbered by a bucketed scan and cut into blocks of equal row count; the last rows
+    of a block that later frames reach are copied to the next one. An aggregate given as
+    ``(expression, lo, hi)`` has a frame of its own; all share one numbering and one shuffle.
     """
-    if lo > hi or hi > 0:
+    framed = _framed(aggs, lo, hi)
+    if any(a > b or b > 0 for _, a, b in framed.values()):
         raise ValueError("offsets must satisfy lo <= hi <= 0")
-    size = block or max(8 * -lo, 8192)
+    back = max(-a for _, a, _ in framed.values())
+    size = block or max(8 * back, 8192)
     d = row_numbers(df, keys, order, bucket, "__rn")
     here = F.floor((F.col("__rn") - 1) / F.lit(size)).cast("long")
-    later = F.floor((F.col("__rn") - 1 - lo) / F.lit(size)).cast("long")
+    later = F.floor((F.col("__rn") - 1 + back) / F.lit(size)).cast("long")
     d = d.withColumn("__own", here).withColumn(BUCKET, F.explode(F.sequence(here, later)))
-    w = Window.partitionBy(*keys, BUCKET).orderBy("__rn").rowsBetween(lo, hi)
-    d = d.withColumns({n: a.over(w) for n, a in aggs.items()})
+    w = Window.partitionBy(*keys, BUCKET).orderBy("__rn")
+    d = d.withColumns({n: c.over(w.rowsBetween(a, b)) for n, (c, a, b) in framed.items()})
     return d.filter(F.col("__own") == F.col(BUCKET)).drop(BUCKET, "__own", "__rn")
 
 

@@ -57,29 +57,26 @@ def rolling_stats(
     The slope is against ``order``. It is 0 with fewer than two rows and NULL when a value in
     the window is missing; the deviation of a single value is 0.
     """
-    out = df
     b = hour_bucket(order) if bucket is None else bucket
+    aggs: dict[str, tuple[Column, int, int]] = {}
     for w in widths:
-        aggs: dict[str, Column] = {}
+        frame = (-(w - 1), 0)
+        aggs[f"__rows_{w}"] = (F.count(F.lit(1)), *frame)
         for c in cols:
-            v = F.col(c).cast("double")
-            h = F.col(order).cast("double")
-            aggs[f"{c}_{w}h_mean"] = F.avg(v)
-            aggs[f"{c}_{w}h_std"] = F.stddev_pop(v)
-            aggs[f"__s_{c}"] = F.regr_slope(v, h)
-            aggs[f"__n_{c}"] = F.count(v)
-        aggs["__rows"] = F.count(F.lit(1))
-        out = rolling_rows(out, keys, [order], b, -(w - 1), 0, aggs)
-        slopes = {
-            f"{c}_{w}h_slope": F.when(F.col(f"__n_{c}") < F.col("__rows"), F.lit(None))
-            .when(F.col("__rows") < 2, F.lit(0.0))
-            .otherwise(F.col(f"__s_{c}"))
-            for c in cols
-        }
-        out = out.withColumns(slopes).drop(
-            "__rows", *[f"__s_{c}" for c in cols], *[f"__n_{c}" for c in cols]
-        )
-    return out
+            v, h = F.col(c).cast("double"), F.col(order).cast("double")
+            aggs[f"{c}_{w}h_mean"] = (F.avg(v), *frame)
+            aggs[f"{c}_{w}h_std"] = (F.stddev_pop(v), *frame)
+            aggs[f"__s_{c}_{w}"] = (F.regr_slope(v, h), *frame)
+            aggs[f"__n_{c}_{w}"] = (F.count(v), *frame)
+    out = rolling_rows(df, keys, [order], b, 0, 0, aggs)
+    slopes = {
+        f"{c}_{w}h_slope": F.when(F.col(f"__n_{c}_{w}") < F.col(f"__rows_{w}"), F.lit(None))
+        .when(F.col(f"__rows_{w}") < 2, F.lit(0.0))
+        .otherwise(F.col(f"__s_{c}_{w}"))
+        for c in cols
+        for w in widths
+    }
+    return out.withColumns(slopes).drop(*[n for n in aggs if n.startswith("__")])
 
 
 def trailing_drop(
@@ -131,10 +128,8 @@ def trailing_event_counts(
         *keys, F.round(F.col(event_at) * scale).cast("long").alias("__t"), F.lit(1).alias("__ev")
     )
     out = g.unionByName(e, allowMissingColumns=True)
-    for w in widths:
-        out = rolling_range(
-            out, keys, F.col("__t"), -(w * scale - 1), 0, {f"{prefix}{w}h": F.sum("__ev")}
-        )
+    frames = {f"{prefix}{w}h": (F.sum("__ev"), -(w * scale - 1), 0) for w in widths}
+    out = rolling_range(out, keys, F.col("__t"), 0, 0, frames)
     out = out.filter(F.col("__row").isNotNull())
     return out.select("__row.*", *[f"{prefix}{w}h" for w in widths])
 

@@ -363,11 +363,12 @@ def _(c: Catalog):
     uo = prefix_scan(uo, ["stay_id"], ["charttime"], time_bucket("charttime"), {"__p": ("prev", "charttime")})
     hours = F.coalesce((epoch_s("charttime") - epoch_s("__p")) / F.lit(3600.0), F.lit(1.0))
     uo = uo.withColumn("__h", hours)
+    frames = {}
     for h in (6, 12, 24):
-        uo = rolling_range(
-            uo, ["stay_id"], epoch_s("charttime"), -h * 3600, 0,
-            {f"urineoutput_{h}hr": F.sum("urineoutput"), f"__t{h}": F.sum("__h")},
-        ).withColumn(f"uo_tm_{h}hr", round_dec(f"__t{h}", 6))
+        frames[f"urineoutput_{h}hr"] = (F.sum("urineoutput"), -h * 3600, 0)
+        frames[f"__t{h}"] = (F.sum("__h"), -h * 3600, 0)
+    uo = rolling_range(uo, ["stay_id"], epoch_s("charttime"), 0, 0, frames)
+    uo = uo.withColumns({f"uo_tm_{h}hr": round_dec(f"__t{h}", 6) for h in (6, 12, 24)})
     wd = c("weight_durations").select("stay_id", "starttime", "endtime", "weight")
     out = J.point_in_interval(uo, wd, ["stay_id"], "charttime", "starttime", "endtime", (True, False), "left")
 

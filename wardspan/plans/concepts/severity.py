@@ -32,8 +32,9 @@ def _(c: Catalog):
     hit = J.point_in_interval(le, span, ["subject_id"], "charttime", "__lo", "outtime", (True, True), width_s=7 * 86400)
     cr = hit.groupBy("hadm_id", "stay_id", "charttime").agg(F.avg("valuenum").alias("creat"))
     day = 86_400_000_000
-    for name, days in (("creat_low_past_48hr", 2), ("creat_low_past_7day", 7)):
-        cr = rolling_range(cr, ["stay_id"], epoch_us("charttime"), -days * day, -1, {name: F.min("creat")})
+    low = F.min("creat")
+    frames = {"creat_low_past_48hr": (low, -2 * day, -1), "creat_low_past_7day": (low, -7 * day, -1)}
+    cr = rolling_range(cr, ["stay_id"], epoch_us("charttime"), 0, 0, frames)
     # a stay without any value keeps one empty row
     none = ie.select("hadm_id", "stay_id").join(cr.select("stay_id").distinct(), "stay_id", "left_anti")
     return cr.unionByName(none, allowMissingColumns=True)

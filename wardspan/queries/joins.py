@@ -182,8 +182,9 @@ def _(t):
 
     day = 86_400_000_000
     e = t("events").select("event_id", "user_id", "ts", "value")
-    e = rolling_range(e, ["user_id"], epoch_us("ts"), -2 * day, -1, {"low_48h": F.min("value")})
-    e = rolling_range(e, ["user_id"], epoch_us("ts"), -7 * day, -1, {"low_7d": F.min("value")})
+    low = F.min("value")
+    frames = {"low_48h": (low, -2 * day, -1), "low_7d": (low, -7 * day, -1)}
+    e = rolling_range(e, ["user_id"], epoch_us("ts"), 0, 0, frames)
     return e.select("event_id", "low_48h", "low_7d")
 
 

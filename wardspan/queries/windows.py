@@ -87,8 +87,8 @@ def _ranges(spec, body):
 )
 def _(t):
     e = ev(t, "event_id", "user_id", "ts", "value")
-    for h in (6, 12, 24):
-        e = rolling_range(e, ["user_id"], epoch_s("ts"), -h * 3600, 0, {f"s{h}": F.sum("value")})
+    frames = {f"s{h}": (F.sum("value"), -h * 3600, 0) for h in (6, 12, 24)}
+    e = rolling_range(e, ["user_id"], epoch_s("ts"), 0, 0, frames)
     return e.select("event_id", *[F.round(f"s{h}", 6).alias(f"s{h}") for h in (6, 12, 24)])
 
 
