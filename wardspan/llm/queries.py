@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardspan.llm import quality_rules
+from wardspan.llm import line_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    """doc_id, n_lines, n_removed, removed (numbers of the deleted lines), text left."""
+    n = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n.alias("n_lines"))
+    df, cut = line_dedup.deduplicated(docs)
+    return df.select("doc_id", "n_lines", F.size(cut).cast("long").alias("n_removed"), F.array_join(cut, ",").alias("removed"), "text")
