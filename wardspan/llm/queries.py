@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import line_dedup, quality_rules
+from wardspan.llm import line_dedup, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op9_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", n.alias("n_lines"))
     df, cut = line_dedup.deduplicated(docs)
     return df.select("doc_id", "n_lines", F.size(cut).cast("long").alias("n_removed"), F.array_join(cut, ",").alias("removed"), "text")
+
+
+@query
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
