@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import line_dedup, quality_rules, secret_scan
+from wardspan.llm import line_dedup, pii_bootstrap, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op9_line_dedup(spark, sf_dir):
 @query
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_pii_bootstrap(spark, sf_dir):
+    return pii_bootstrap.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))

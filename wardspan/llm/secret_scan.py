@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.llm.common import NO_SPANS, fresh, spans_if, text_hash
+from wardspan.llm.common import fresh, spans_if, text_hash
 
 try:
     from re import _constants as C
