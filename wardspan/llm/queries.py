@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import line_dedup, pii_bootstrap, quality_rules, secret_scan
+from wardspan.llm import line_dedup, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op8_secret_scan(spark, sf_dir):
 @query
 def op10_pii_bootstrap(spark, sf_dir):
     return pii_bootstrap.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    return url_filter.verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
