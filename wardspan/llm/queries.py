@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import line_dedup, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,16 @@ def op10_pii_bootstrap(spark, sf_dir):
 @query
 def op6_url_filter(spark, sf_dir):
     return url_filter.verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def tokenizer_path() -> str:
+    """The tokenizer of the packing contract, where the package that carries the vocabularies is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_mixture_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixture_packing.packed(docs, mixture_packing.Settings(tokenizer_path()))
