@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import jaccard_join, line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def tokenizer_path() -> str:
 def op2_mixture_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixture_packing.packed(docs, mixture_packing.Settings(tokenizer_path()))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
