@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import jaccard_join, line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import jaccard_join, license_scan, line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op2_mixture_packing(spark, sf_dir):
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("blocks")
