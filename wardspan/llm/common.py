@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 _BLOCK = 256
-_STORED: list[tuple[SparkSession, str]] = []
+_STORED: list[tuple[SparkSession, str, str]] = []
+_OWNER = ["query"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,19 +35,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _STORED.append((spark, path))
+    _STORED.append((spark, _OWNER[-1], path))
     return spark.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables stored so far; call it once the results that read them are written."""
+@contextlib.contextmanager
+def storing_for(owner: str):
+    """Tables stored inside belong to ``owner``."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def release(spark: SparkSession, owner: str = "query") -> None:
+    """Remove the owner's stored tables; call it once the results that read them are written."""
     left = []
-    for owner, path in _STORED:
-        if owner is spark:
+    for session, own, path in _STORED:
+        if session is spark and own == owner:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         else:
-            left.append((owner, path))
+            left.append((session, own, path))
     _STORED[:] = left
 
 

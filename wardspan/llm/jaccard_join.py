@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardspan.llm.common import stored
+from wardspan.llm.common import fresh, stored, text_hash
 from wardspan.llm.components import components
 from wardspan.llm.shingle_sets import fingerprint, mix, shingles
 
@@ -89,15 +89,15 @@ def _over_rows(fn, out_names: list[str], out_types: list[pa.DataType]):
 
 
 def set_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """Stored rows (doc_id, n, cls, sigs) of all documents: set size, fingerprint of the set, signatures of its parts."""
+    """Stored rows (doc_id, th, n, cls, sigs) of all documents: text hash, set size and fingerprint, signatures of its parts."""
 
-    def one(doc_id, text):
+    def one(doc_id, th, text):
         t = shingles(text, s.shingle)
-        return doc_id, len(t), fingerprint(t), signatures(t, s.percent).tolist() if len(t) else []
+        return doc_id, th, len(t), fingerprint(t), signatures(t, s.percent).tolist() if len(t) else []
 
-    kind = dict(docs.dtypes)["doc_id"]
-    run = _over_rows(one, ["doc_id", "n", "cls", "sigs"], [pa.int64() if kind == "bigint" else pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
-    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, sigs array<long>"), "sets")
+    run = _over_rows(one, ["doc_id", "th", "n", "cls", "sigs"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text")
+    return stored(rows.mapInArrow(run, "doc_id long, th long, n long, cls long, sigs array<long>"), "sets")
 
 
 def _looked_up(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -189,13 +189,8 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInArrow(_over_rows(one, ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
 
 
-def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    NULL and empty texts have no shingles and are linked with nothing: their component is their own id. Rows with equal ids
-    are one node. Rows without id are counted but linked with nothing, their component is NULL. Ties are no matter: a
-    component's id is its smallest doc_id. An empty table gives an empty result; extra columns do not matter.
-    """
+def components_of(docs: DataFrame, s: Settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, th, n_shingles, component_id."""
     sets = set_table(docs, s)
     groups = membership(sets)
     tokens = class_tokens(docs, sets, groups.select("cls").distinct(), s)
@@ -214,7 +209,35 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ids = _tied(ids, known.join(twice, "doc_id", "left_semi"))
     out = sets.join(ids, sets["cls"] == ids["k"], "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    NULL and empty texts have no shingles and are linked with nothing: their component is their own id. Rows with equal ids
+    are one node. Rows without id are counted but linked with nothing, their component is NULL. Ties are no matter: a
+    component's id is its smallest doc_id. An empty table gives an empty result; extra columns do not matter.
+    """
+    return components_of(docs, s).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` of each component's smallest doc_id, with their own columns.
+
+    If that id occurs in several rows the one with the smallest text hash stays, once. Rows without words or without id are
+    linked with nothing and stay.
+    """
+    rows = components_of(docs, s)
+    best = rows.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("_th"), F.count("*").alias("_times"))
+    best = stored(best.withColumnRenamed("doc_id", "_id"), "kept")
+    h, free = fresh(docs.columns, "text_hash"), fresh(docs.columns, "free")
+    # the words of a text are what is left without ASCII white space
+    marked = docs.withColumn(h, text_hash(F.col("text"))).withColumn(free, F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    chosen = marked.where(~F.col(free)).join(best, (F.col("doc_id") == F.col("_id")) & (F.col(h) == F.col("_th")))
+    once = chosen.where("_times = 1").select(*docs.columns)
+    repeated = chosen.where("_times > 1").dropDuplicates(["doc_id", h]).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(marked.where(free).select(*docs.columns))
 
 
 def _tied(ids: DataFrame, rows: DataFrame) -> DataFrame:
