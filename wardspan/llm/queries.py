@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import jaccard_join, latent_decontamination, license_scan, line_dedup, mixture_packing, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import jaccard_join, latent_decontamination, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op4_latent_decontamination(spark, sf_dir):
     """doc_id, item_id, lcs (words), near (word of the document), answer: one row per document and item found in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return latent_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).drop("cosine")
+
+
+@query
+def op3_page_difference(spark, sf_dir):
+    return page_difference.extracted(table(spark, sf_dir, "pages"))
