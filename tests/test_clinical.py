@@ -203,4 +203,4 @@ def test_every_resource_kind_is_shaped(spark):
     assert out["Encounter"]["class"] == "EMER" and out["Encounter"]["status"] == "in-progress" and "dosage" not in out["MedicationAdministration"]
     assert out["Observation"]["note"][0]["text"] == "quality_flags: imputed"
     both = R.to_resources(row, "Condition").select("hadm_id", "seq_num", "resource").unionByName(R.to_resources(row, "Procedure").select("hadm_id", "seq_num", "resource"))
-    assert R.bundles(both, "hadm_id", "seq_num").first()["n"] == 2
+    assert R.bundles(both, "hadm_id", "seq_num").first()["n"] == 2 and R.bundles(both, "hadm_id", "seq_num").count() == both.count()

@@ -91,3 +91,25 @@ def test_weighted_percentile_equals_repeated_rows(spark):
     d = spark.createDataFrame([(1, 2.0, 3), (1, 5.0, 1), (1, 9.0, 2)], "g int, v double, n int")
     got = S.exact_percentiles(d, ["g"], "v", {"p": 0.6}, F.col("n")).first()["p"]
     assert got == pytest.approx(np.quantile([2, 2, 2, 5, 9, 9], 0.6))
+
+
+def test_null_keys_and_null_order_are_groups(spark):
+    rows = [(None, None, 1), (None, 5, 1), (None, 50, 1), (1, 5, 1), (1, 50, 1), (1, None, 1)]
+    d = spark.createDataFrame(rows, "k int, t int, v int")
+    out = S.prefix_scan(d, ["k"], ["t"], F.floor(F.col("t") / 10).cast("long"), {"run": ("sum", "v"), "all": ("total", "v")}).collect()
+    assert sorted((str(r["k"]), str(r["t"]), r["run"], r["all"]) for r in out) == [
+        ("1", "5", 2, 3), ("1", "50", 3, 3), ("1", "None", 1, 3), ("None", "5", 2, 3), ("None", "50", 3, 3), ("None", "None", 1, 3)]
+
+
+def test_values_out_of_the_ordinary(spark):
+    nan, inf = float("nan"), float("inf")
+    d = spark.createDataFrame([(1, x) for x in (nan, inf, -inf, 1e300, -1e300, 0.0, 0.5, None)], "k int, v double")
+    out = S.weighted_ranks(d, ["k"], "v", {"n": F.lit(1)}).orderBy("v").collect()
+    assert [r["n_upto"] for r in out] == list(range(1, 8)) and out[-1]["v"] != out[-1]["v"]
+    assert S.exact_percentiles(d, ["k"], "v", {"m": 0.5}).first()["m"] == 0.5
+
+
+def test_scores_spread_over_many_slices(spark):
+    d = spark.range(1_000_000).select((0.5 + F.col("id") / 2_000_000).alias("v"))
+    n = d.groupBy(S.value_bucket("v").alias("b")).count().agg(F.count("*").alias("slices"), F.max("count").alias("most")).first()
+    assert n["slices"] > 4000 and n["most"] < 500

@@ -120,3 +120,48 @@ def test_source_rules():
     for p in (ROOT / "wardspan").rglob("*.py"):
         text = p.read_text()
         assert "crossJoin(" not in text and "localCheckpoint(" not in text and "F.udf(" not in text, p
+
+
+def test_a_table_in_two_folders_is_read_whole(spark, tmp_path):
+    for name, ids in (("hosp", "1\n2\n"), ("icu", "3\n")):
+        (tmp_path / name).mkdir()
+        with gzip.open(tmp_path / name / "d_items.csv.gz", "wt") as f:
+            f.write("itemid\n" + ids)
+    got = ST.load_catalog(spark, str(tmp_path))["d_items"].collect()
+    assert sorted(r["itemid"] for r in got) == [1, 2, 3]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wardspan.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_no_query_plans_a_cartesian_product(spark):
+    """The bootstrap joins rows with the size of their stratum, also where the stratum is a literal."""
+    from wardspan.operators.sampling import bootstrap_counts
+
+    units = spark.range(50).withColumn("g", F.lit(1))
+    for strata in ([], ["g"]):
+        df = bootstrap_counts(units, "id", strata, 20, 3)
+        assert "CartesianProduct" not in df._jdf.queryExecution().toString()
+        assert df.agg(F.sum("times")).first()[0] == 50 * 20
+
+
+def test_blanked_hash_breaks_the_chain(spark):
+    from wardspan.operators import quality as Q
+
+    prev, rows = Q.GENESIS, []
+    for i in range(3):
+        own = hashlib.sha256(f"v{i}|{prev}".encode()).hexdigest()
+        rows.append((1, i, f"v{i}", prev, own))
+        prev = own
+    schema = "k int, seq int, v string, prev_hash string, row_hash string"
+    check = lambda rs: Q.verify_hash_chain(spark.createDataFrame(rs, schema), ["k"], "seq", ["v"]).first()
+    assert check(rows)["intact"] and check(rows)["first_broken"] is None
+    assert check([*rows[:2], (*rows[2][:4], None)])["first_broken"] == 2
+    assert check([rows[0], (*rows[1][:3], None, rows[1][4]), rows[2]])["first_broken"] == 1

@@ -39,13 +39,16 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     return d.withColumn("weight", w).drop("__one", "n", "p")
 
 
-def fit_arm(train: DataFrame, arm: str, numbers: Sequence[str], categories: Sequence[str] = (), y: str = "y", seed: int = 0) -> PipelineModel:
-    """``logistic`` (imputed, scaled, one-hot, class-balanced) or ``boosted`` trees."""
+def fit_arm(
+    train: DataFrame, arm: str, numbers: Sequence[str], categories: Sequence[str] = (), y: str = "y", seed: int = 0,
+    steps: int = 2000, trees: int = 200, depth: int = 4,
+) -> PipelineModel:
+    """``logistic`` (imputed, scaled, one-hot) or ``boosted`` trees, both class-balanced; trained with the study's settings by default."""
     if arm == "logistic":
-        est = LogisticRegression(featuresCol="features", labelCol=y, weightCol="weight", maxIter=50)
+        est = LogisticRegression(featuresCol="features", labelCol=y, weightCol="weight", maxIter=steps)
         return Pipeline(stages=[*_features(numbers, categories, True), est]).fit(balanced(train, y))
-    est = GBTClassifier(featuresCol="features", labelCol=y, maxIter=10, maxDepth=3, seed=seed)
-    return Pipeline(stages=[*_features(numbers, categories, False), est]).fit(train)
+    est = GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[*_features(numbers, categories, False), est]).fit(balanced(train, y))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -54,16 +57,17 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    df: DataFrame, folds: DataFrame, group: str, arm: str, numbers: Sequence[str], categories: Sequence[str] = (), y: str = "y"
+    df: DataFrame, folds: DataFrame, group: str, arm: str, numbers: Sequence[str], categories: Sequence[str] = (), y: str = "y",
+    **settings: int,
 ) -> DataFrame:
     """Out-of-fold scores: (row columns, repeat, fold, score). One fit per (repeat, fold)."""
-    pairs = folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").limit(1000).collect()
+    pairs = folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
     # every fit reads the rows several times: store them once in the shared folder
     rows = cut_lineage(df.join(folds, group))
     out = None
     for p in pairs:
         mine = rows.filter(F.col("repeat") == p["repeat"])
-        model = fit_arm(mine.filter(F.col("fold") != p["fold"]), arm, numbers, categories, y)
+        model = fit_arm(mine.filter(F.col("fold") != p["fold"]), arm, numbers, categories, y, **settings)
         part = predict(model, mine.filter(F.col("fold") == p["fold"])).select(group, y, "repeat", "fold", "score")
         out = part if out is None else out.unionByName(part)
     return out
@@ -79,12 +83,12 @@ def importance_overlap(a: Sequence[str], b: Sequence[str]) -> float:
     return len(set(a) & set(b)) / max(len(a), 1)
 
 
-def two_sample_test(real: DataFrame, synth: DataFrame, cols: Sequence[str], seed: int = 0) -> DataFrame:
+def two_sample_test(real: DataFrame, synth: DataFrame, cols: Sequence[str], seed: int = 0, **settings: int) -> DataFrame:
     """AUROC of telling real from synthetic rows on a held-out half, and how alike they are."""
     u = real.select(*cols, F.lit(1).alias("y")).unionByName(synth.select(*cols, F.lit(0).alias("y")))
     half = F.pmod(F.xxhash64(*cols, F.col("y")), F.lit(2))
     train, test = u.filter(half == 0), u.filter(half == 1)
-    scored = predict(fit_arm(train, "boosted", list(cols), seed=seed), test).withColumn("__g", F.lit(1))
+    scored = predict(fit_arm(train, "boosted", list(cols), seed=seed, **settings), test).withColumn("__g", F.lit(1))
     m = ranked_metrics(scored.select("__g", "y", "score"), ["__g"])
     return m.select("auroc", (100 * (1 - F.abs(F.col("auroc") - 0.5) * 2)).alias("pct_similar"))
 

@@ -259,10 +259,11 @@ def with_fallback(
     The fallback entry is a single row, so it is broadcast.
     """
     own = dim.filter(F.col(on) != fallback_key).withColumn("__own", F.lit(True))
-    pooled = dim.filter(F.col(on) == fallback_key)
-    pooled = pooled.select(F.lit(1).alias("__one"), *[F.col(c).alias(f"__f_{c}") for c in cols])
+    # an aggregate is one row, whatever the dimension holds; of several fallback entries the greatest is used
+    pooled = dim.filter(F.col(on) == fallback_key).agg(F.max(F.struct(*cols)).alias("__f"))
+    pooled = pooled.select(F.lit(1).alias("__one"), *[F.col("__f")[c].alias(f"__f_{c}") for c in cols])
     out = df.join(own.select(on, "__own", *cols), on, "left").withColumn("__one", F.lit(1))
-    out = out.join(F.broadcast(pooled.limit(1)), "__one", "left")
+    out = out.join(F.broadcast(pooled), "__one", "left")
     out = out.withColumns({c: F.when(F.col("__own"), F.col(c)).otherwise(F.col(f"__f_{c}")) for c in cols})
     out = out.withColumn(flag, F.col("__own").isNull() & F.col(on).isNotNull())
     return out.drop("__own", "__one", *[f"__f_{c}" for c in cols])
@@ -309,38 +310,49 @@ def asof_either_payload(
 
     A right row with a time matches by ``before[0]``/``after[0]`` hours, one with only a day by
     ``before[1]``/``after[1]`` days. "First" is the earliest day, a timed row before an untimed
-    one, then the smallest ``payload.rank_id``. Each of the four searches is a forward as-of from
-    the start of its window, so no candidate pairs are formed. ``day`` must be the day of
+    one, then the smallest ``payload.rank_id``. A left row asks four questions, each "the first
+    right row from here on". All questions and both kinds of right rows are stacked once and
+    scanned once, backwards in time; no candidate pairs are formed. ``day`` must be the day of
     ``exact``. The two results are structs of the payload.
     """
     r = right.select(*on, F.col(exact).alias("__e"), F.col(day).alias("__d"), F.col(payload).alias("__p"))
     # a struct of negated numbers cannot be relied on, so the smallest rank per time is kept first
     smallest = F.min_by("__p", F.col("__p.rank_id")).alias("__p")
     timed = r.filter(F.col("__e").isNotNull()).groupBy(*on, "__e").agg(smallest, F.min("__d").alias("__d"))
-    dated = r.filter(F.col("__e").isNull()).groupBy(*on, "__d").agg(smallest)
-    out = left.withColumn("__day", F.date_trunc("day", F.col(ts)).cast("timestamp_ntz"))
+    dated = r.filter(F.col("__e").isNull() & F.col("__d").isNotNull()).groupBy(*on, "__d").agg(smallest)
+    found = lambda e: F.struct("__d", e.alias("__e"), "__p")
     far = F.lit("9999-01-01").cast("timestamp_ntz")
-    for name, (hours, days), back in ((names[0], before, True), (names[1], after, False)):
-        out = out.withColumns(
-            {
-                "__from": F.expr(f"{ts} - interval {hours} hours") if back else F.col(ts),
-                "__from_day": F.expr(f"__day - interval {days} days") if back else F.col("__day"),
-            }
-        )
-        out = asof_latest(
-            out, timed, on, "__from", "__e", ["__e", "__d", "__p"], hours * 3600, strict=not back, direction="forward"
-        )
-        ok = (F.col("__e") < F.col(ts)) if back else F.lit(True)
-        first = F.when(ok & F.col("__p").isNotNull(), F.struct("__d", F.col("__e").alias("__e"), "__p"))
-        out = out.withColumn("__m1", first).drop("__e", "__d", "__p")
-        out = asof_latest(out, dated, on, "__from_day", "__d", ["__d", "__p"], days * 86400, direction="forward")
-        second = F.when(F.col("__p").isNotNull(), F.struct("__d", far.alias("__e"), "__p"))
-        out = out.withColumn("__m2", second).drop("__d", "__p")
-        a, b = F.col("__m1"), F.col("__m2")
-        a_first = b.isNull() | (a["__d"] < b["__d"]) | ((a["__d"] == b["__d"]) & (a["__e"] <= b["__e"]))
-        pick = F.when(a.isNotNull() & a_first, a["__p"]).otherwise(b["__p"])
-        out = out.withColumn(name, pick).drop("__m1", "__m2")
-    return out.drop("__day", "__from", "__from_day")
+    back = lambda t: -epoch_us(t)
+    start = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
+    asked = {
+        "t_before": (F.expr(f"{ts} - interval {before[0]} hours"), 2), "t_after": (F.col(ts), 0),
+        "d_before": (start - F.expr(f"interval {before[1]} days"), 2), "d_after": (start, 2),
+    }
+    # seen backwards, a right row (side 1) comes before a question at its own time, except the strict one
+    questions = F.array(*[F.struct(F.lit(k).alias("__q"), back(t).alias("__t"), F.lit(side).alias("__side")) for k, (t, side) in asked.items()])
+    probes = left.withColumn("__row", F.struct(*left.columns)).select(*on, "__row", F.inline(questions))
+    stack = probes.unionByName(timed.select(*on, back("__e").alias("__t"), F.lit(1).alias("__side"), found(F.col("__e")).alias("__timed")), True)
+    stack = stack.unionByName(dated.select(*on, back("__d").alias("__t"), F.lit(1).alias("__side"), found(far).alias("__dated")), True)
+    bucket = F.floor(F.col("__t") / F.lit(DAY * 1_000_000)).cast("long")
+    seen = prefix_scan(stack, on, ["__t", "__side", "__q"], bucket, {"__ht": ("last", "__timed"), "__hd": ("last", "__dated")})
+    answer = lambda q, hit: F.first(F.when(F.col("__q") == q, F.col(hit)), ignorenulls=True).alias(q)
+    per = seen.filter(F.col("__q").isNotNull()).groupBy("__row").agg(
+        F.count(F.when(F.col("__q") == "t_after", 1)).alias("__times"),
+        *[answer(q, "__ht" if q.startswith("t") else "__hd") for q in asked],
+    )
+    out = per.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    out = out.select("__row.*", *asked)
+    limits = {
+        "t_before": F.col("t_before.__e") < F.col(ts),
+        "t_after": F.col("t_after.__e") <= F.expr(f"{ts} + interval {after[0]} hours"),
+        "d_before": F.col("d_before.__d") <= start,
+        "d_after": F.col("d_after.__d") <= start + F.expr(f"interval {after[1]} days"),
+    }
+    for name, a, b in ((names[0], "t_before", "d_before"), (names[1], "t_after", "d_after")):
+        x, y = F.when(limits[a], F.col(a)), F.when(limits[b], F.col(b))
+        x_first = y.isNull() | (x["__d"] < y["__d"]) | ((x["__d"] == y["__d"]) & (x["__e"] <= y["__e"]))
+        out = out.withColumn(name, F.when(x.isNotNull() & x_first, x["__p"]).otherwise(y["__p"]))
+    return out.drop(*asked)
 
 
 def asof_either(

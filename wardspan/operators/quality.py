@@ -115,7 +115,7 @@ def minority_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def drop_rare_flags(df: DataFrame, cols: Sequence[str], min_count: int = 20) -> DataFrame:
     rare = minority_counts(df, cols).filter(F.col("minority") < min_count)
-    return df.drop(*[r["column_name"] for r in rare.limit(len(cols)).collect()])
+    return df.drop(*[r["column_name"] for r in rare.collect()])
 
 
 def violation_rate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -173,7 +173,8 @@ def verify_hash_chain(
     rows = prefix_scan(df, keys, [seq], b, {"__before": ("prev", own)})
     link = F.coalesce("__before", F.lit(GENESIS))
     expected = chain_hash(fields, link if linked else None)
-    bad = (F.col(prev) != link) | (F.col(own) != expected)
+    # a blanked hash breaks the chain like a wrong one
+    bad = ~F.col(prev).eqNullSafe(link) | ~F.col(own).eqNullSafe(expected)
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(F.when(bad, F.col(seq))).alias("first_broken"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardspan.functions.compat import col, hash_unit
 from wardspan.operators.scan import prefix_scan, row_numbers, weighted_ranks
+from wardspan.session import stored
 
 
 def draw(seed: int | str, *parts: Column | str) -> Column:
@@ -85,7 +86,7 @@ def grouped_folds(
     g = df.groupBy(group).agg(F.sum(F.col(y).cast("long")).alias("__pos"))
     g = g.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     g = g.withColumn("__d", hash_unit(F.lit(seed), F.col("repeat"), F.col(group)))
-    bucket = F.floor(F.col("__d") * 256).cast("long")
+    bucket = F.floor(F.col("__d") * (1 << 20)).cast("long")
     g = row_numbers(g, ["repeat", "__pos"], ["__d", group], bucket, "__i")
     shift = F.pmod(F.col("__pos"), F.lit(k))
     fold = F.pmod(F.col("__i") - 1 + shift, F.lit(k)).cast("int")
@@ -100,22 +101,18 @@ def bootstrap_counts(units: DataFrame, unit: str, strata: list[str], n_boot: int
     """
     u = units.select(*strata, unit).distinct()
     u = u.withColumn("__h", hash_unit(F.lit(seed), F.col(unit)))
-    u = row_numbers(u, strata, ["__h", unit], F.floor(F.col("__h") * 256).cast("long"), "__i")
-    sizes = u.groupBy(*strata).agg(F.max("__i").alias("__n")) if strata else u.agg(F.max("__i").alias("__n"))
-    if strata:
-        slots = u.join(sizes, strata)
-    else:
-        slots = u.withColumn("__one", F.lit(1)).join(
-            F.broadcast(sizes.withColumn("__one", F.lit(1))), "__one"
-        ).drop("__one")
-    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    # the number of a unit and the size of its stratum come from one scan; both uses read the stored rows
+    slices = F.floor(F.col("__h") * (1 << 20)).cast("long")
+    u = prefix_scan(u, strata, ["__h", unit], slices, {"__i": ("sum", F.lit(1).cast("long")), "__n": ("total", F.lit(1).cast("long"))})
+    u = stored(u.select(*strata, unit, "__i", "__n"), "units")
+    slots = u.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     pick = F.floor(hash_unit(F.lit(f"b{seed}"), F.col("replicate"), F.col("__i")) * F.col("__n"))
     times = (
         slots.withColumn("__i", (pick + 1).cast("long"))
         .groupBy(*strata, "replicate", "__i")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return times.join(u.select(*strata, unit, "__i"), [*strata, "__i"]).drop("__i")
+    return stored(times.join(u.select(*strata, unit, "__i"), [*strata, "__i"]).drop("__i"), "draws")
 
 
 def fraction_draws(df: DataFrame, unit: str, fractions: Sequence[float], draws: int, seed: int = 0) -> DataFrame:
@@ -139,7 +136,7 @@ def resample_units(df: DataFrame, unit: str, times: DataFrame, new_id: str = "sy
     """
     t = times.withColumn("__h", hash_unit(F.lit("copies"), F.col(unit)))
     t = prefix_scan(
-        t, [], ["__h", unit], F.floor(F.col("__h") * 256).cast("long"), {"__hi": ("sum", "times")}
+        t, [], ["__h", unit], F.floor(F.col("__h") * (1 << 20)).cast("long"), {"__hi": ("sum", "times")}
     )
     t = t.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("times"))))
     t = t.select(unit, (-(F.col("__hi") - F.col("times") + F.col("__c"))).cast("long").alias(new_id))
@@ -156,7 +153,7 @@ def marginal_impute(df: DataFrame, cols: Sequence[str], ident: str, seed: int =
     for c in cols:
         seen = df.filter(F.col(c).isNotNull()).select(ident, F.col(c).alias("__v"))
         seen = seen.withColumn("__h", hash_unit(F.lit("imp"), F.col(ident)))
-        seen = row_numbers(seen, [], ["__h", ident], F.floor(F.col("__h") * 256).cast("long"), "__k")
+        seen = row_numbers(seen, [], ["__h", ident], F.floor(F.col("__h") * (1 << 20)).cast("long"), "__k")
         n = seen.agg(F.max("__k").alias("__n")).withColumn("__one", F.lit(1))
         miss = out.filter(F.col(c).isNull()).select(ident).withColumn("__one", F.lit(1))
         miss = miss.join(F.broadcast(n), "__one")

@@ -9,7 +9,11 @@ of values), so that one hot key spreads over as many tasks as it has buckets:
   after each bucket comes from a window over those few rows;
 * both are joined on ``(keys, bucket)``.
 
-Key columns must not be NULL and the order must be total within a key.
+A NULL key is a group like any other, and rows without an order value form the first bucket, as
+Spark sorts them: keys and bucket travel as one struct, whose comparison treats NULLs as equal.
+The order must be total within a key. A scan reads its input twice, so an input that is costly to
+make, and the result of a scan that goes into another, should be a stored table
+(``wardspan.session.stored``).
 """
 
 from __future__ import annotations
@@ -23,18 +27,27 @@ from wardspan.functions.compat import col, epoch_us
 
 DAY = 86400
 BUCKET = "__bucket"
+GROUP = "__group"
 
 
 def time_bucket(ts: Column | str, width_s: int = DAY) -> Column:
     return F.floor(epoch_us(ts) / F.lit(width_s * 1_000_000)).cast("long")
 
 
-def value_bucket(value: Column | str, per_octave: int = 64) -> Column:
-    """Monotone slice number of a numeric value: finer than 2 % of the magnitude, so that the
-    number of slices is bounded by the range of a double, whatever the data."""
+def value_bucket(value: Column | str, per_octave: int = 4096) -> Column:
+    """Monotone slice number of a numeric value.
+
+    Every doubling of the magnitude has ``per_octave`` slices, so ten million scores between 0.5
+    and 1 lie in thousands of tasks' worth of slices, while the number of summary rows stays
+    bounded by the range of a double. Infinite values and, after all others as Spark sorts it, NaN
+    have slices of their own; NULL has none.
+    """
     v = col(value).cast("double")
     scale = per_octave / math.log(2.0)
-    return (F.signum(v) * F.floor(F.ln(F.abs(v) * F.lit(1e6) + 1.0) * F.lit(scale))).cast("long")
+    far, top = 1e290, 1 << 40
+    inner = F.signum(v) * F.floor(F.ln(F.abs(v) * F.lit(1e6) + 1.0) * F.lit(scale))
+    outer = F.when(F.isnan(v), F.lit(2 * top)).when(v > far, F.lit(top)).when(v < -far, F.lit(-top))
+    return F.when(F.isnan(v) | (F.abs(v) > far), outer).otherwise(inner.cast("long"))
 
 
 def _order(order: list[Column | str]) -> list[Column]:
@@ -56,9 +69,8 @@ def prefix_scan(
     non-NULL strictly after the row; ``total`` over the whole group.
     """
     ordered = _order(order)
-    df = df.withColumn(BUCKET, bucket)
-    part = [F.col(k) for k in keys] + [F.col(BUCKET)]
-    w = Window.partitionBy(*part).orderBy(*ordered)
+    df = df.withColumn(GROUP, F.struct(*[F.col(k) for k in keys], bucket.alias(BUCKET)))
+    w = Window.partitionBy(GROUP).orderBy(*ordered)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(1, Window.unboundedFollowing)
     pos = F.struct(*ordered)
@@ -66,9 +78,10 @@ def prefix_scan(
     inside: dict[str, Column] = {}
     partial: list[Column] = []
     carry: dict[str, Column] = {}
-    kw = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    before = kw.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    behind = kw.orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    kw = Window.partitionBy(*[F.col(GROUP)[k] for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    at = F.col(GROUP)[BUCKET]
+    before = kw.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    behind = kw.orderBy(at).rowsBetween(1, Window.unboundedFollowing)
 
     for name, (kind, expr) in specs.items():
         e = col(expr)
@@ -107,9 +120,8 @@ def prefix_scan(
             raise ValueError(f"unknown scan kind {kind!r}")
 
     rows = df.withColumns(inside) if inside else df
-    summary = df.groupBy(*part).agg(*partial).withColumns(carry)
-    summary = summary.select(*keys, BUCKET, *carry)
-    out = rows.join(summary, [*keys, BUCKET], "left")
+    summary = df.groupBy(GROUP).agg(*partial).withColumns(carry).select(GROUP, *carry)
+    out = rows.join(summary, GROUP, "left")
 
     final: dict[str, Column] = {}
     for name, (kind, _) in specs.items():
@@ -128,7 +140,7 @@ def prefix_scan(
             final[name] = F.coalesce(i, c)["v"]
         else:
             final[name] = F.coalesce(i, c)
-    drop = [BUCKET, *inside, *carry]
+    drop = [GROUP, *inside, *carry]
     return out.withColumns(final).drop(*drop)
 
 

@@ -100,10 +100,26 @@ def trailing_drop(
 def prior_counts(
     df: DataFrame, keys: list[str], ts: str, days: int, name: str, unit_us: int = 1
 ) -> DataFrame:
-    """Number of earlier rows of the key inside the trailing ``days``, strictly before."""
+    """Number of earlier rows of the key inside the trailing ``days``, strictly before.
+
+    The running count before the row less the running count before the start of its window: one
+    scan, whatever the number of rows in the window. Rows of equal time are combined first.
+    """
     span = days * 86_400_000_000 // unit_us
     at = F.floor(epoch_us(ts) / F.lit(unit_us)).cast("long")
-    return rolling_range(df, keys, at, -span, -1, {name: F.count(F.lit(1))})
+    d = df.withColumn("__at", at)
+    per = d.filter(F.col("__at").isNotNull()).groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__n"))
+    entry = lambda t, side, n, kind: F.struct(
+        t.alias("__t"), F.lit(side).alias("__side"), n.alias("__w"), F.lit(kind).alias("__kind"))
+    none = F.lit(0).cast("long")
+    entries = F.array(entry(F.col("__at"), 1, F.col("__n"), 0), entry(F.col("__at"), 0, none, 1), entry(F.col("__at") - span, 0, none, -1))
+    stack = per.select(*keys, "__at", F.inline(entries))
+    bucket = F.floor(F.col("__t") / F.lit(max(1, span // 12))).cast("long")
+    run = prefix_scan(stack, keys, ["__t", "__side", "__at"], bucket, {"__run": ("sum", "__w")}).filter("__kind <> 0")
+    k = F.struct(*keys, "__at")
+    counts = run.groupBy(k.alias("__k")).agg(F.sum(F.col("__run") * F.col("__kind")).alias(name))
+    out = d.withColumn("__k", k).join(counts, "__k", "left")
+    return out.withColumn(name, F.coalesce(name, none)).drop("__k", "__at")
 
 
 def trailing_event_counts(

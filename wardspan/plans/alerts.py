@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardspan.functions.compat import epoch_us, from_epoch_us
 from wardspan.operators.joins import asof_latest
-from wardspan.operators.scan import DAY, exact_percentiles, prefix_scan, time_bucket
+from wardspan.operators.scan import DAY, exact_percentiles, prefix_scan, row_numbers, time_bucket
 
 # fixed values of the alert policy
 BUCKET_HOURS, ESCALATE_AFTER = 4, 3
@@ -109,6 +109,15 @@ def inbox_order(severity: str, ts: str) -> list[Column]:
     return [rank, F.col(ts).desc()]
 
 
+def inbox(alerts: DataFrame, severity: str, ts: str, ident: str, status: str = "status", open_: tuple[str, ...] = ("active", "escalated")) -> DataFrame:
+    """All open alerts with their ``position``: by severity, newest first. No limit; paging is up to the reader."""
+    d = alerts.filter(F.col(status).isin(*open_))
+    rank = F.when(F.col(severity) == "high", 0).when(F.col(severity) == "medium", 1).otherwise(2)
+    # one slice per severity and day; an alert without a time comes last of its severity
+    day = F.coalesce(-time_bucket(ts), F.lit(1 << 39))
+    return row_numbers(d, [], [*inbox_order(severity, ts), ident], rank.cast("long") * (1 << 40) + day, "position")
+
+
 def lead_time(alerts: DataFrame, events: DataFrame, key: str, raised: str, event: str) -> DataFrame:
     """Per event: the last alert strictly before it and the hours between (NULL if none)."""
     out = asof_latest(

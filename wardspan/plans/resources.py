@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.functions.codes import code_token
+from wardspan.operators.scan import prefix_scan
 
 # fixed values: the identifier system each resource type is keyed on
 IDENTIFIERS = {
@@ -116,7 +117,11 @@ def rewrite_reference(r: Column) -> Column:
 
 
 def bundles(resources: DataFrame, key: str, order: str) -> DataFrame:
-    """One transaction bundle per key; entries are the resource texts in order."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("resource"))))
-    g = resources.groupBy(key).agg(F.transform(entries, lambda e: e["resource"]).alias("entry"))
-    return g.select(key, F.lit("transaction").alias("type"), F.size("entry").alias("n"), "entry")
+    """Transaction bundles, one row per entry: key, type, position from 1, entries in the bundle, entry.
+
+    A key may have any number of resources, so a bundle is never gathered in one row; a writer streams the
+    rows of a key in order of ``position``. ``order`` is a number or a time.
+    """
+    slice_ = F.floor(F.col(order).cast("double") / 1000).cast("long")
+    rows = prefix_scan(resources, [key], [order, "resource"], slice_, {"position": ("sum", F.lit(1)), "n": ("total", F.lit(1))})
+    return rows.select(key, F.lit("transaction").alias("type"), "position", "n", F.col("resource").alias("entry"))

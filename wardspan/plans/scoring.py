@@ -15,6 +15,7 @@ from wardspan.operators.scan import exact_percentiles
 from wardspan.operators.windows import ffill_flagged, trailing_drop
 from wardspan.plans.concepts import Catalog
 from wardspan.plans.features import CORE
+from wardspan.session import stored
 
 # Charted items of the grid, sedating drugs, guard and percentiles of the cut-points
 GRID_ITEMS = {
@@ -67,8 +68,9 @@ def group_cut_points(
     n = df.groupBy(group).agg(F.countDistinct(unit).alias("stays"), F.count(F.lit(1)).alias("patient_hours"))
     times = bootstrap_counts(df, unit, [group], n_boot, seed)
     per = df.groupBy(group, unit, score).agg(F.count(F.lit(1)).alias("__c")).join(times, [group, unit])
+    per = stored(per.groupBy(group, "replicate", score).agg(F.sum(F.col("__c") * F.col("times")).alias("__c")), "drawn-scores")
     p = exact_percentiles(
-        per, [group, "replicate"], score, {"__m": P_MEDIUM, "__h": P_HIGH}, F.col("__c") * F.col("times")
+        per, [group, "replicate"], score, {"__m": P_MEDIUM, "__h": P_HIGH}, F.col("__c")
     )
     high = F.greatest(F.floor("__h"), F.floor("__m") + 1).cast("double")
     ci = exact_percentiles(p.withColumn("__x", high), [group], "__x", {"high_ci_lo": 0.025, "high_ci_hi": 0.975})

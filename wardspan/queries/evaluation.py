@@ -105,18 +105,18 @@ def _boot_sql(unit, n, seed, src, strata=()):
 
 @query(
     "boot_ci",
-    f"""with {SCORE_ROWS}, {_boot_sql('user_id', 60, 5, 'sc')},
+    f"""with {SCORE_ROWS}, {_boot_sql('user_id', 1000, 5, 'sc')},
     rs as (select replicate, y, score, times from sc join draws using (user_id)), {_rank_sql(['replicate'], 'rs', 'times')}
     select round(quantile_cont(auroc, 0.025), 6) as lo, round(quantile_cont(auroc, 0.975), 6) as hi from rm""",
 )
 def _(t):
     d = score_rows(t).withColumn("g", F.lit(1))
-    return M.boot_ci(d, ["g"], "user_id", "auroc", 60, seed=5).select(r("lo"), r("hi"))
+    return M.boot_ci(d, ["g"], "user_id", "auroc", 1000, seed=5).select(r("lo"), r("hi"))
 
 
 @query(
     "group_cutpoint_ci",
-    f"""with {SCORE_ROWS}, x as (select user_id, (user_id % 4)::bigint as grp, floor(score * 200)::bigint as s from sc), {_boot_sql('user_id', 40, 2, 'x', ('grp',))},
+    f"""with {SCORE_ROWS}, x as (select user_id, (user_id % 4)::bigint as grp, floor(score * 200)::bigint as s from sc), {_boot_sql('user_id', 500, 2, 'x', ('grp',))},
     e as (select d.grp, replicate, s, sum(times) as w from x join draws d on x.user_id = d.user_id and x.grp = d.grp group by 1, 2, 3),
     c as (select grp, replicate, s, sum(w) over (partition by grp, replicate order by s) as upto, sum(w) over (partition by grp, replicate) as n from e),
     q as (select grp, replicate, min(s) filter (upto > floor(0.9 * (n - 1))) as lo, min(s) filter (upto > ceil(0.9 * (n - 1))) as hi, any_value(0.9 * (n - 1) - floor(0.9 * (n - 1))) as f from c group by 1, 2)
@@ -124,7 +124,7 @@ def _(t):
 )
 def _(t):
     x = score_rows(t).select("user_id", (F.col("user_id") % 4).alias("grp"), F.floor(F.col("score") * 200).alias("s"))
-    times = S.bootstrap_counts(x, "user_id", ["grp"], 40, 2)
+    times = S.bootstrap_counts(x, "user_id", ["grp"], 500, 2)
     per = x.groupBy("grp", "user_id", "s").agg(F.count(F.lit(1)).alias("c")).join(times, ["grp", "user_id"])
     q = exact_percentiles(per, ["grp", "replicate"], "s", {"q90": 0.9}, F.col("c") * F.col("times"))
     ci = exact_percentiles(q, ["grp"], "q90", {"high_lo": 0.025, "high_hi": 0.975})
@@ -139,7 +139,7 @@ _DIMS = "unpivot (subgroup for dimension in (kind, part_of_day))"
     f"""with {SCORE_ROWS}, lo0 as (select user_id, y, score, event_type::varchar as kind, case when hour(ts) < 6 then 'night' when hour(ts) < 18 then 'day' else 'evening' end as part_of_day from sc),
     x as (select user_id, y, score, dimension, subgroup from lo0 {_DIMS}),
     base as (select dimension, subgroup, count(*) as n_rows, sum(y)::bigint as n_positives, round(avg(y), 4) as event_rate, round(avg((score >= 0.4)::int), 4) as alert_rate from x group by 1, 2),
-    ok as (select x.* from x join base using (dimension, subgroup) where base.n_rows >= 100 and n_positives >= 5), {_boot_sql('user_id', 30, 1, 'ok', ('dimension', 'subgroup'))},
+    ok as (select x.* from x join base using (dimension, subgroup) where base.n_rows >= 100 and n_positives >= 5), {_boot_sql('user_id', 600, 1, 'ok', ('dimension', 'subgroup'))},
     rs as (select d.dimension, d.subgroup, replicate, y, score, times from ok join draws d on ok.user_id = d.user_id and ok.dimension = d.dimension and ok.subgroup = d.subgroup),
     {_rank_sql(['dimension', 'subgroup', 'replicate'], 'rs', 'times')},
     ci as (select dimension, subgroup, quantile_cont(auroc, 0.025) as lo, quantile_cont(auroc, 0.975) as hi from rm group by 1, 2),
@@ -152,7 +152,7 @@ def _(t):
     h = F.hour("ts")
     part = F.when(h < 6, "night").when(h < 18, "day").otherwise("evening")
     d = score_rows(t).select("user_id", "y", "score", F.col("event_type").alias("kind"), part.alias("part_of_day"))
-    a = M.subgroup_audit(d, ["kind", "part_of_day"], 0.4, "user_id", n_boot=30, seed=1, max_width=0.05)
+    a = M.subgroup_audit(d, ["kind", "part_of_day"], 0.4, "user_id", n_boot=600, seed=1, max_width=0.05)
     return a.select(
         "dimension", "subgroup", "n_rows", "n_positives", "event_rate", "alert_rate", r("auroc"), r("auroc_lo"), r("auroc_hi"), "uninformative"
     )
@@ -432,12 +432,12 @@ def _(t):
 @query(
     "nearest_neighbour_attribute",
     f"""with {_VEC}, s as (select * from e where vec_id % 2 = 0), tg as (select * from e where vec_id % 2 = 1),
-    n as (select t.vec_id, t.label, arg_min(s.label, (list_distance(t.v[1:32], s.v[1:32]), s.vec_id)) as guess from tg t, s group by 1, 2),
+    n as (select t.vec_id, t.label, arg_min(s.label, (list_distance(t.v, s.v), s.vec_id)) as guess from tg t, s group by 1, 2),
     c as (select (label > 4) as y, (guess > 4) as g from n)
     select count(*) filter (y and g) as tp, count(*) filter (not y and g) as fp, count(*) filter (y and not g) as fn, count(*) filter (not y and not g) as tn from c""",
 )
 def _(t):
-    e = t("embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 32).alias("v"))
+    e = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     s = e.filter(F.col("vec_id") % 2 == 0)
     targets = e.filter(F.col("vec_id") % 2 == 1)
     near = Y.nearest(targets, s, "vec_id", "v", neighbour="near_id")

@@ -43,7 +43,7 @@ def _(t):
 
 @query(
     "checksum_manifest",
-    "select 'ok' as status, count(distinct o_orderstatus) as parts from orders union all select 'missing', 1",
+    "select 'ok' as status, count(distinct o_orderstatus) - 1 as parts from orders union all select 'changed', 1 union all select 'missing', 1",
 )
 def _(t):
     path = folder(t, "landing")
@@ -51,11 +51,36 @@ def _(t):
     o.repartition(1).write.partitionBy("o_orderstatus").option("compression", "gzip").csv(path)
     f = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv.gz").option("recursiveFileLookup", True).load(path)
     man = f.select(ST.below(path).alias("file"), F.sha2("content", 256).alias("sha256"))
+    # one file of the landing folder is rewritten after the manifest was made, and an unlisted one is added
+    man = t.spark.createDataFrame(man.collect(), man.schema)
+    o.filter("o_orderstatus = 'F'").limit(1).drop("o_orderstatus").coalesce(1).write.mode("overwrite").option("compression", "gzip").csv(f"{path}/o_orderstatus=X")
+    wrong = F.when(F.col("file").startswith("o_orderstatus=F"), F.sha2(F.lit("an older version"), 256)).otherwise(F.col("sha256"))
+    man = man.withColumn("sha256", wrong)
     gone = t.spark.range(1).select(F.lit("gone.csv.gz").alias("file"), F.lit("0").alias("sha256"))
     out = ST.verify_checksums(t.spark, path, man.unionByName(gone))
     return out.groupBy("status").agg(F.countDistinct("sha256").alias("parts"))
 
 
+@query(
+    "landing_zone",
+    """select 'orders' as table_name, count(*) as n, count(distinct o_custkey) as keys, sum(o_orderkey)::bigint as total from orders
+    union all select 'customer', count(*), count(distinct c_custkey), sum(c_nationkey)::bigint from customer""",
+)
+def _(t):
+    """Files of one table name in two folders are one table; the whole is replaced by parquet, twice."""
+    path = folder(t, "zone")
+    o, c = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
+    parts = {"hosp/orders": o.filter("o_orderkey % 3 = 0"), "icu/orders": o.filter("o_orderkey % 3 <> 0"), "hosp/customer": c}
+    for name, df in parts.items():
+        df.write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}.csv.gz")
+    schemas = {"orders": ST.declared("o_orderkey:long o_custkey:long"), "customer": ST.declared("c_custkey:long c_nationkey:long")}
+    for _ in range(2):
+        ST.convert_to_parquet(ST.load_catalog(t.spark, path, schemas), f"{path}-parquet", {"orders": ["o_custkey"]})
+    a, b = (t.spark.read.parquet(f"{path}-parquet/{n}") for n in schemas)
+    count = lambda df, n, k, v: df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n"), F.countDistinct(k).alias("keys"), F.sum(v).alias("total"))
+    return count(a, "orders", "o_custkey", "o_orderkey").unionByName(count(b, "customer", "c_custkey", "c_nationkey"))
+
+
 @query(
     "training_export",
     f"with {SCORE_ROWS} select case when {_hash(repr('11'), 'user_id')} < 0.7 then 'train' else 'test' end as split, count(*) as n, sum(y)::bigint as positives from sc group by 1",

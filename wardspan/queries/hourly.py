@@ -88,7 +88,7 @@ def _(t):
 @query("clinical_group_thresholds")
 def _(t):
     g = scored(t).select("stay_id", "dx_group", F.col("news2").alias("score"))
-    return SC.group_cut_points(g, "stay_id", "dx_group", n_boot=50)
+    return SC.group_cut_points(g, "stay_id", "dx_group", n_boot=500)
 
 
 _CH9 = " ".join(f"when try_cast(substr(code, 1, 3) as integer) between 1 and {n} then '{name}'" for n, name in CHAPTERS_9)
@@ -141,9 +141,9 @@ def _(t):
     stays = c("icustay_detail").join(c("icustays").select("stay_id", "first_careunit"), "stay_id")
     n = scored(t).withColumn("tier_icu", F.col("tier_icu"))
     f = FT.feature_frame(
-        grid(t), n, c("sofa"), c("invasive_line"), c("labevents"), stays, SC.disease_context(c), ["hr", "spo2"]
+        grid(t), n, c("sofa"), c("invasive_line"), c("labevents"), stays, SC.disease_context(c), _COLS
     )
-    m = FT.training_matrix(f, clinical_labels(t), 6, ["hr", "spo2"])
+    m = FT.training_matrix(f, clinical_labels(t), 6, _COLS)
     return tidy(m)
 
 
@@ -158,7 +158,7 @@ def _(t):
 @query("two_sample_auc")
 def _(t):
     li = t("lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    out = ML.two_sample_test(li.filter("l_returnflag = 'R'"), li.filter("l_returnflag = 'A'"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    out = ML.two_sample_test(li.filter("l_returnflag = 'R'"), li.filter("l_returnflag <> 'R'"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], trees=20)
     return out.select(F.round("auroc", 4).alias("auroc"), F.round("pct_similar", 4).alias("pct_similar"))
 
 
@@ -172,7 +172,7 @@ def _(t):
     out = None
     for arm in ("logistic", "boosted"):
         d = s.select("user_id", "y", F.col("score").alias("x1"), "value", "hour", "event_type")
-        cv = ML.cross_validate(d, folds, "user_id", arm, ["x1", "value", "hour"], ["event_type"])
+        cv = ML.cross_validate(d, folds, "user_id", arm, ["x1", "value", "hour"], ["event_type"], steps=100, trees=20)
         m = ranked_metrics(cv, ["repeat", "fold"]).withColumn("model", F.lit(arm))
         out = m if out is None else out.unionByName(m)
     return out.select("model", "repeat", "fold", *[F.round(x, 4).alias(x) for x in ("auroc", "auprc", "brier")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardspan.operators import quality as Q
 from wardspan.operators import sampling as S
 from wardspan.operators import sets as U
+from wardspan.operators.scan import DAY, row_numbers, time_bucket
 from wardspan.queries.analytics import TYPES, r
 from wardspan.queries.grid import FILL_SQL, filled_grid
 from wardspan.queries.registry import query
@@ -40,25 +41,29 @@ def _(t):
 
 @query(
     "severity_order",
-    """select event_id, ts, sev from (select *, case when value > 100 then 'high' when value > 40 then 'medium' else 'low' end as sev from events)
-    order by case sev when 'high' then 0 when 'medium' then 1 else 2 end, ts desc limit 25""",
+    """select event_id, ts, sev, row_number() over (order by case sev when 'high' then 0 when 'medium' then 1 else 2 end, ts desc, event_id) as position
+    from (select *, case when value > 100 then 'high' when value > 40 then 'medium' else 'low' end as sev from events where event_id % 4 < 2)""",
 )
 def _(t):
-    from wardspan.plans.alerts import inbox_order
+    from wardspan.plans.alerts import inbox
 
     sev = F.when(F.col("value") > 100, "high").when(F.col("value") > 40, "medium").otherwise("low")
-    e = t("events").select("event_id", "ts", sev.alias("sev"))
-    return e.orderBy(*inbox_order("sev", "ts")).limit(25)
+    status = F.element_at(F.array(*map(F.lit, ("active", "escalated", "resolved", "acknowledged"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = t("events").select("event_id", "ts", sev.alias("sev"), status.alias("status"))
+    return inbox(e, "sev", "ts", "event_id").drop("status")
 
 
 @query(
     "nulls_first_order",
-    """select o_orderkey, k from (select o_orderkey, case when o_orderkey % 6 <> 0 then o_orderdate end as k from orders)
-    order by k asc nulls first, o_orderkey limit 3000""",
+    """select o_orderkey, k, row_number() over (order by k asc nulls first, o_orderkey) as position
+    from (select o_orderkey, case when o_orderkey % 6 <> 0 then o_orderdate end as k from orders)""",
 )
 def _(t):
     k = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderdate")).alias("k")
-    return t("orders").select("o_orderkey", k).orderBy(F.col("k").asc_nulls_first(), "o_orderkey").limit(3000)
+    d = t("orders").select("o_orderkey", k)
+    # rows without a time come first, in slices of their keys
+    slice_ = F.coalesce(time_bucket("k", 30 * DAY), F.floor(F.col("o_orderkey") / 1_000_000).cast("long") - (1 << 40))
+    return row_numbers(d, [], [F.col("k").asc_nulls_first(), "o_orderkey"], slice_, "position")
 
 
 @query(
@@ -180,13 +185,9 @@ def _(t):
 )
 def _(t):
     g = filled_grid(t)
-    cols = [c for c in g.columns if c not in ("user_id", "hour")]
-    masks = {
-        "full": [],
-        "no_view": U.channel_columns("view", cols),
-        "only_view": [c for k in TYPES if k != "view" for c in U.channel_columns(k, cols)],
-    }
-    rep = U.replicate_masked(g, masks)
+    sensors = {k: [c for c in g.columns if c.split("_")[0] == k] for k in TYPES}
+    devices = {"full": list(TYPES), "no_view": [k for k in TYPES if k != "view"], "only_view": ["view"]}
+    rep = U.as_devices(g, sensors, devices, "replica")
     return rep.groupBy("replica").agg(
         F.count(F.lit(1)).alias("n"), F.count("view").alias("n_view"), F.count("error").alias("n_error"),
         F.count("view_was_imputed").alias("n_flag"), F.round(F.sum("view"), 4).alias("s_view"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def build_session(app: str = "wardspan", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here relies on.
 
@@ -34,17 +39,27 @@ def build_session(app: str = "wardspan", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that survives executor loss: ``spark.checkpoint.dir`` of the session.
 
-    Only when the cluster names none (local tests) is a temporary folder used, and the setting
-    is then written back so that later calls agree.
+    A session on one machine that names none gets a temporary folder, which goes with the process. On a
+    cluster that would be a folder the other machines cannot read, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wardspan-")
+        atexit.register(shutil.rmtree, path, True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """``df`` written once to the shared folder and read back, for an input that several steps read."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,18 +85,21 @@ def read_declared_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def landing_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, length and table name of every ``*.csv.gz`` below the folder; loose ``.csv`` is left out."""
+    """Path, length and table name of every ``*.csv.gz`` below the folder; loose ``.csv`` is left out.
+
+    A table is a file of its name, or a folder of that name with part files.
+    """
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv.gz").option("recursiveFileLookup", True).load(folder)
-    return f.select("path", "length", F.regexp_extract("path", r"([^/]+)\.csv\.gz$", 1).alias("table_name"))
+    return f.select("path", "length", F.regexp_extract("path", r"([^/]+)\.csv\.gz(?:/part-[^/]*)?$", 1).alias("table_name"))
 
 
 def load_catalog(
     spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType] = SCHEMAS, views: bool = False
 ) -> dict[str, DataFrame]:
-    """One DataFrame per declared table found in the landing folder; unknown files are skipped."""
-    files = landing_files(spark, folder).filter(F.col("table_name").isin(*schemas)).select("path", "table_name")
-    found = {r["table_name"]: r["path"] for r in files.limit(10 * len(schemas)).collect()}
-    out = {n: read_declared_csv(spark, p, schemas[n]) for n, p in found.items()}
+    """One DataFrame per declared table found in the landing folder, over all files of that name; others are skipped."""
+    files = landing_files(spark, folder).filter(F.col("table_name").isin(*schemas))
+    found = {r["table_name"]: r["paths"] for r in files.groupBy("table_name").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}
+    out = {n: reduce(DataFrame.unionByName, (read_declared_csv(spark, p, schemas[n]) for p in paths)) for n, paths in found.items()}
     if views:
         for n, df in out.items():
             df.createOrReplaceTempView(n)
