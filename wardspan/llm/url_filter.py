@@ -122,13 +122,15 @@ def verdicts(pages: DataFrame, s: Settings = Settings(), rules=RULES) -> DataFra
         return base.select(*own, "host", "path", "rule", F.coalesce(decided, F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     mean = blocked / n
     share = spark.createDataFrame([(r["suffix"], float((r["blocked"] + s.prior * mean) / (r["n"] + s.prior))) for r in top], "suffix string, share double")
-    table = F.broadcast(share.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("suffix", "share"))).alias("shares")))
 
     def featured(df: DataFrame) -> DataFrame:
         feats = lexical(F.col("url"), F.col("host"), F.col("path"))
-        df = df.crossJoin(table)  # one row: the bounded map of suffix shares
-        feats |= {f"f_{k}": F.coalesce(F.try_element_at("shares", F.concat(F.lit(k + ":"), c)), F.lit(mean)) for k, c in suffixes(F.col("host"), F.col("path")).items()}
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df.withColumns(feats).drop("shares"))
+        keys = suffixes(F.col("host"), F.col("path"))
+        for k, c in keys.items():  # as many rows as the settings allow, so each lookup is a broadcast
+            own = share.select(F.col("suffix").alias(f"k_{k}"), F.col("share").alias(f"s_{k}"))
+            df = df.join(F.broadcast(own), F.concat(F.lit(k + ":"), c) == F.col(f"k_{k}"), "left")
+        feats |= {f"f_{k}": F.coalesce(F.col(f"s_{k}"), F.lit(mean)) for k in keys}
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df.withColumns(feats))
 
     train = known.orderBy(F.xxhash64("url"), "url").limit(s.train_rows)
     model = GBTClassifier(labelCol=y, featuresCol="features", maxIter=s.trees, maxDepth=s.depth, maxBins=64, seed=s.seed, cacheNodeIds=False).fit(featured(train).select(y, "features"))
