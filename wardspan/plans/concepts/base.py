@@ -345,6 +345,7 @@ def _(c: Catalog):
     return pivot_items(rows, ["subject_id", "charttime"], spec, also=[listed]).drop("__hr")
 
 
+# Item codes
 URINE_ITEMS = (226559, 226560, 226561, 226584, 226563, 226564, 226565, 226567, 226557, 226558, 227488, 227489)
 IRRIGANT_IN = 227488
 
@@ -415,6 +416,7 @@ def _(c: Catalog):
     )
 
 
+# Item codes
 VENT_NUMBERS = {
     "respiratory_rate_set": (224688,), "respiratory_rate_total": (224690,), "respiratory_rate_spontaneous": (224689,),
     "minute_volume": (224687,), "tidal_volume_set": (224684,), "tidal_volume_observed": (224685,),
@@ -440,6 +442,7 @@ def _(c: Catalog):
 
 # --- medication ------------------------------------------------------------------------------
 
+# Item codes
 AGENT_CODES = {
     "dopamine": 221662, "epinephrine": 221289, "norepinephrine": 221906, "phenylephrine": 221749, "vasopressin": 222315,
     "dobutamine": 221653, "milrinone": 221986,
@@ -482,29 +485,37 @@ def _(c: Catalog):
 
 
 # Drug-name fragments, lower case
-ACEI = "benazepril captopril enalapril fosinopril lisinopril moexipril perindopril quinapril ramipril trandolapril".split()
+ACEI = (
+    "benazepril", "captopril", "enalapril", "fosinopril", "lisinopril", "moexipril", "perindopril", "quinapril", "ramipril",
+    "trandolapril",
+)
 ARB = (
-    "azilsartan edarbi candesartan atacand irbesartan avapro losartan cozaar olmesartan benicar telmisartan micardis "
-    "valsartan diovan sacubitril entresto"
-).split()
+    "azilsartan", "edarbi", "candesartan", "atacand", "irbesartan", "avapro", "losartan", "cozaar", "olmesartan", "benicar",
+    "telmisartan", "micardis", "valsartan", "diovan", "sacubitril", "entresto",
+)
 NSAID = (
-    "aspirin bromfenac celecoxib diclofenac diflunisal etodolac fenoprofen flurbiprofen ibuprofen indomethacin ketoprofen "
-    "meloxicam nabumetone naproxen nepafenac oxaprozin piroxicam sulindac tolmetin"
-).split() + ["mefenamic acid"]
+    "aspirin", "bromfenac", "celecoxib", "diclofenac", "diflunisal", "etodolac", "fenoprofen", "flurbiprofen", "ibuprofen",
+    "indomethacin", "ketoprofen", "mefenamic acid", "meloxicam", "nabumetone", "naproxen", "nepafenac", "oxaprozin", "piroxicam",
+    "sulindac", "tolmetin",
+)
 ANTIBIOTIC = (
-    "adoxa ala-tet alodox amikacin amikin amoxicill amphotericin anidulafungin ancef clavulanate ampicillin augmentin avelox "
-    "avidoxy azactam azithromycin aztreonam axetil bactocill bactrim bactroban bethkis biaxin cayston cefazolin cedax cefoxitin "
-    "ceftazidime cefaclor cefadroxil cefdinir cefditoren cefepime cefotan cefotetan cefotaxime ceftaroline cefpodoxime cefpirome "
-    "cefprozil ceftibuten ceftin ceftriaxone cefuroxime cephalexin cephalothin cephapririn chloramphenicol cipro ciprofloxacin "
-    "claforan clarithromycin cleocin clindamycin cubicin dicloxacillin dirithromycin doryx doxycy duricef dynacin ery-tab eryped "
-    "eryc erythrocin erythromycin factive flagyl fortaz furadantin garamycin gentamicin kanamycin keflex kefzol ketek levaquin "
-    "levofloxacin lincocin linezolid macrobid macrodantin maxipime mefoxin metronidazole meropenem methicillin minocin minocycline "
-    "monodox monurol morgidox moxatag moxifloxacin mupirocin myrac nafcillin neomycin nitrofurantoin norfloxacin noroxin ocudox "
-    "ofloxacin omnicef oracea oraxyl oxacillin panixine pediazole penicillin periostat pfizerpen piperacillin tazobactam primsol "
-    "proquin raniclor rifadin rifampin rocephin smz-tmp septra solodyn spectracef streptomycin sulfadiazine sulfamethoxazole "
-    "trimethoprim sulfatrim sulfisoxazole suprax synercid tazicef tetracycline timentin tobramycin unasyn vancocin vancomycin "
-    "vantin vibativ vibra-tabs vibramycin zinacef zithromax zosyn zyvox"
-).split() + ["bicillin l-a", "nicazel doxy 30", "pc pen vk", "pce dispertab"]
+    "adoxa", "ala-tet", "alodox", "amikacin", "amikin", "amoxicill", "amphotericin", "anidulafungin", "ancef", "clavulanate",
+    "ampicillin", "augmentin", "avelox", "avidoxy", "azactam", "azithromycin", "aztreonam", "axetil", "bactocill", "bactrim",
+    "bactroban", "bethkis", "biaxin", "bicillin l-a", "cayston", "cefazolin", "cedax", "cefoxitin", "ceftazidime", "cefaclor",
+    "cefadroxil", "cefdinir", "cefditoren", "cefepime", "cefotan", "cefotetan", "cefotaxime", "ceftaroline", "cefpodoxime", "cefpirome",
+    "cefprozil", "ceftibuten", "ceftin", "ceftriaxone", "cefuroxime", "cephalexin", "cephalothin", "cephapririn", "chloramphenicol",
+    "cipro", "ciprofloxacin", "claforan", "clarithromycin", "cleocin", "clindamycin", "cubicin", "dicloxacillin", "dirithromycin",
+    "doryx", "doxycy", "duricef", "dynacin", "ery-tab", "eryped", "eryc", "erythrocin", "erythromycin", "factive", "flagyl", "fortaz",
+    "furadantin", "garamycin", "gentamicin", "kanamycin", "keflex", "kefzol", "ketek", "levaquin", "levofloxacin", "lincocin",
+    "linezolid", "macrobid", "macrodantin", "maxipime", "mefoxin", "metronidazole", "meropenem", "methicillin", "minocin",
+    "minocycline", "monodox", "monurol", "morgidox", "moxatag", "moxifloxacin", "mupirocin", "myrac", "nafcillin", "neomycin",
+    "nicazel doxy 30", "nitrofurantoin", "norfloxacin", "noroxin", "ocudox", "ofloxacin", "omnicef", "oracea", "oraxyl", "oxacillin",
+    "panixine", "pc pen vk", "pce dispertab", "pediazole", "penicillin", "periostat", "pfizerpen", "piperacillin", "tazobactam",
+    "primsol", "proquin", "raniclor", "rifadin", "rifampin", "rocephin", "smz-tmp", "septra", "solodyn", "spectracef", "streptomycin",
+    "sulfadiazine", "sulfamethoxazole", "trimethoprim", "sulfatrim", "sulfisoxazole", "suprax", "synercid", "tazicef", "tetracycline",
+    "timentin", "tobramycin", "unasyn", "vancocin", "vancomycin", "vantin", "vibativ", "vibra-tabs", "vibramycin", "zinacef",
+    "zithromax", "zosyn", "zyvox",
+)
 LOCAL_ROUTES = ("OU", "OS", "OD", "AU", "AS", "AD", "TP")
 NOT_SYSTEMIC = ["cream", "desensitization", "ophth oint", "gel"]
 

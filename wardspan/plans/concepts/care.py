@@ -91,12 +91,14 @@ LINE_TYPES = {
     "Triple Introducer": ["Triple Introducer", "TripleIntroducer"], "Portacath": ["Portacath", "Indwelling Port (PortaCath)"],
 }
 LINE_SITES = {
-    f"{side} {place}": [f"{side} {x}" for x in spellings]
-    for side in ("Left", "Right")
-    for place, spellings in {
-        "Antecube": ["Antecub", "Antecube"], "Axilla": ["Axilla", "Axilla."], "Brachial": ["Brachial", "Brachial."],
-        "Femoral": ["Femoral", "Femoral."],
-    }.items()
+    "Left Antecube": ["Left Antecub", "Left Antecube"],
+    "Left Axilla": ["Left Axilla", "Left Axilla."],
+    "Left Brachial": ["Left Brachial", "Left Brachial."],
+    "Left Femoral": ["Left Femoral", "Left Femoral."],
+    "Right Antecube": ["Right Antecub", "Right Antecube"],
+    "Right Axilla": ["Right Axilla", "Right Axilla."],
+    "Right Brachial": ["Right Brachial", "Right Brachial."],
+    "Right Femoral": ["Right Femoral", "Right Femoral."],
 }
 
 
@@ -229,10 +231,10 @@ CHARLSON = {
     ),
     "diabetes_without_cc": (
         "2500 2501 2502 2503 2508 2509",
-        " ".join(f"E{d}{s}" for d in (10, 11, 12, 13, 14) for s in (0, 1, 6, 8, 9)),
+        "E100 E101 E106 E108 E109 E110 E111 E116 E118 E119 E120 E121 E126 E128 E129 E130 E131 E136 E138 E139 E140 E141 E146 E148 E149",
     ),
     "diabetes_with_cc": (
-        "2504 2505 2506 2507", " ".join(f"E{d}{s}" for d in (10, 11, 12, 13, 14) for s in (2, 3, 4, 5, 7)),
+        "2504 2505 2506 2507", "E102 E103 E104 E105 E107 E112 E113 E114 E115 E117 E122 E123 E124 E125 E127 E132 E133 E134 E135 E137 E142 E143 E144 E145 E147",
     ),
     "paraplegia": (
         "342 343 3341 3440 3441 3442 3443 3444 3445 3446 3449",
