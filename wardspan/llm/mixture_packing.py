@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,9 @@ from wardspan.llm.common import stored
 END = 2
 _TOKENS = "doc_id {id}, source string, part int, first long, n long, ids binary"
 #: Words whose ids a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 700_000
 _BATCH_BYTES = 16_000_000
+_BAR = "|"
 #: (part, source) totals up to which they are broadcast; beyond, they are joined by a shuffle.
 _BROADCAST_ROWS = 200_000
 
@@ -49,9 +51,22 @@ class Settings:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
-    from tokenizers import Tokenizer
+    """The tokenizer; the same for single lower-case words of Latin letters, which need no normalising and no splitting; memory."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    return Tokenizer.from_file(path), {"": b""}
+    tokenizer, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    words.normalizer = normalizers.Sequence([])
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer, words, {"": b""}, tokenizer.encode(_BAR, add_special_tokens=False).ids[0]
+
+
+def _plain(text: str) -> bool:
+    """Whether lower-casing first is sure to change nothing: Latin-1 only, and no special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -59,30 +74,48 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     Words between blanks are encoded on their own and remembered: the tokenizer's pattern never joins across white space.
     """
-    tokenizer, known = _encoder(path)
-
-    def learn(new: list[str]) -> None:
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
+    tokenizer, words, known, bar = _encoder(path)
     if len(known) > _REMEMBERED:
         known.clear()
         known[""] = b""
-    out = []
+    split, latin, other = [], set(), set()
     for text in texts:
-        # lower case first where that is sure to be what the tokenizer does
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        missing = set(chunks).difference(known)
-        if missing:
-            # a word with one comma or full stop behind it is two words of the tokenizer's pattern
-            ending = {w for w in missing if w[-1] in ",." and w[:-1].isalpha()}
-            learn(sorted(((missing - ending) | {w[:-1] for w in ending} | {w[-1] for w in ending}).difference(known)))
-            for w in ending:
-                known[w] = known[w[:-1]] + known[w[-1]]
-        out.append(b"".join([known[w] for w in chunks]))
-    return out
+        plain = _plain(text)
+        chunks = (text.lower() if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        split.append(chunks)
+        (latin if plain else other).update(chunks)
+    latin.difference_update(known)
+    other.difference_update(known)
+
+    def learn(encoder, new: list[str]) -> None:
+        """Many words at a time, with a bar between them."""
+        lists = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for ws, e in zip(lists, encoder.encode_batch_fast([f" {_BAR} ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(ws, [*(4 * np.flatnonzero(ids == bar)).tolist(), len(data)], strict=True):
+                known[w] = data[at:end]
+                at = end + 4
+
+    # lower-case Latin words; such words with one comma or full stop behind, which are two words of the pattern; all others
+    simple, ending, rest = [], [], list(other.difference(latin))
+    for w in latin:
+        if w.isalpha():
+            simple.append(w)
+        elif w[-1] in ",." and w[:-1].isalpha():
+            ending.append(w)
+        else:
+            rest.append(w)
+    stems = {w[:-1] for w in ending}.difference(known, simple)
+    learn(words, simple + list(stems))
+    for w in (*rest, ",", "."):
+        if _BAR in w:
+            known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    learn(tokenizer, [w for w in (*rest, ",", ".") if _BAR not in w])
+    comma, stop = known[","], known["."]
+    for w in ending:
+        known[w] = known[w[:-1]] + (comma if w[-1] == "," else stop)
+    return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 def tokenized(docs: DataFrame, path: str, source: str = "source") -> DataFrame:
@@ -123,7 +156,8 @@ def phases(supply: list[int], targets: list[float] | None, window: int) -> list[
         if not sum(due):
             due = [float(r) for r in left]
         rate = [window * p / sum(due) for p in due]
-        n = max(1, math.ceil(min(r / v for r, v in zip(left, rate, strict=True) if v > 0)))
+        # whole windows at the full rates; the window in which a queue runs dry is a phase of its own
+        n = max(1, math.floor(min(r / v for r, v in zip(left, rate, strict=True) if v > 0)))
         got = [min(r, math.ceil(v * n)) for r, v in zip(left, rate, strict=True)]
         out.append((at, n, list(done), got))
         at, done = at + n, [d + g for d, g in zip(done, got, strict=True)]
