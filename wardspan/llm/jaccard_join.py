@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of documents on word shingles, by a token-group matrix.
 
 1. Equal sets are one class. 2. Grouping: sets of at most S tokens together that link differ in at most D tokens, so if
-the tokens are dealt by hash into D + 1 parts, one part is the same in both. Classes that share a part form a bucket; its
+the tokens are dealt by hash into D + 1 parts, one part is the same in both (a few parts more allow to leave out parts that hold
+no token; shingles that are common in a sample are left aside). Classes that share a part form a bucket; its
 smallest member is the leader, and all classes that share some bucket with a leader are the leader's group. Any two
 classes that link are together in a group. 3. Each group keeps its token union as the leader's tokens plus every member's
 difference from them: rows (group, token, members). A class whose tokens are found in other members too rarely cannot link
@@ -12,6 +13,8 @@ through it; no pairs among them are formed. For the others, opened groups are se
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +30,21 @@ from wardspan.llm.shingle_sets import fingerprint, mix, shingles
 
 #: Rows of a lookup table up to which it is broadcast; beyond, it is joined by a shuffle.
 _BROADCAST_ROWS = 1_500_000
-_RATIO = 1.4
+#: Largest to smallest size of a size class; at least 100 / percent, so that linked sets are at most one class apart.
+_RATIO = 1.25
+_SIG = np.uint64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words per shingle. percent: least Jaccard similarity of a link, in whole percent."""
+    """shingle: words per shingle. percent: least Jaccard similarity of a link, in whole percent. sample_docs: documents
+    (smallest hashes) in which common shingles are counted; those in ``common`` or more unlike ones do not count for grouping.
+    Any choice of these two gives the same links; they only save work."""
 
     shingle: int = 3
     percent: int = 90
+    sample_docs: int = 5_000
+    common: int = 3
 
 
 def most_apart(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -43,34 +52,73 @@ def most_apart(total: int | np.ndarray, percent: int) -> int | np.ndarray:
     return total * (100 - percent) // (100 + percent)
 
 
-def spaces(n: int, percent: int) -> list[tuple[int, int]]:
-    """(space, parts) a set of n tokens takes part in: its own size class, and the next if a linked set can be in it."""
+@dataclass(frozen=True)
+class Space:
+    """Sets of one size class and those of the next smaller one that can link with them. Of ``parts`` parts at least
+    ``spare + 1`` are the same in two linked sets, so a set may leave out up to ``spare`` parts: its empty ones."""
+
+    number: int
+    parts: int
+    spare: int
+
+
+@functools.cache
+def _space(number: int, low: int, high: int, percent: int) -> Space:
+    differ = most_apart(2 * high, percent)
+    spare = 0
+    least = max(1, low * percent // 100)  # the smallest sets that come in from the class below
+    for _ in range(12):  # their expected number of empty parts and three standard deviations
+        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        spare = min(math.ceil(empty + 3 * math.sqrt(empty)), differ + 1)
+    return Space(number, differ + 1 + spare, spare)
+
+
+def spaces(n: int, percent: int) -> list[Space]:
+    """The spaces a set of n tokens takes part in: its own size class, and the next if a linked set can be in it."""
+    ratio = max(_RATIO, 100 / percent)
     c, low = 0, 1
     while True:
-        high = max(low, int(low * _RATIO))
+        high = max(low, int(low * ratio))
         if n <= high:
             break
         c, low = c + 1, high + 1
-    out = [(c, most_apart(2 * high, percent) + 1)]
+    out = [_space(c, low, high, percent)]
     if n * 100 >= percent * (high + 1):
-        top = max(high + 1, int((high + 1) * _RATIO))
-        out.append((c + 1, most_apart(2 * top, percent) + 1))
+        out.append(_space(c + 1, high + 1, max(high + 1, int((high + 1) * ratio)), percent))
     return out
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """One 64-bit signature per part of every space: equal parts have equal signatures."""
-    out = []
+def without(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The tokens (sorted) that are not in ``hot`` (sorted)."""
+    if not len(hot):
+        return tokens
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return tokens[hot[at] != tokens]
+
+
+def signatures(tokens: np.ndarray, percent: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """48-bit signatures of a set's parts in every space: equal parts have equal signatures.
+
+    Empty parts would put unlike sets together. They are left out if there are no more of them than can be spared;
+    otherwise they count as well. Two linked sets always keep a common signature: if one of them leaves out its empty
+    parts, an equal part that is not empty remains, which both have. Tokens in ``hot`` are left aside: without them two
+    sets differ in no more tokens than with them.
+    """
+    out, n = [], len(tokens)
+    if hot is not None:
+        tokens = without(tokens, hot)
     with np.errstate(over="ignore"):
         spread = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-        for space, parts in spaces(len(tokens), percent):
-            part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            sums = np.zeros(parts, np.uint64)
+        for s in spaces(n, percent):
+            part = (((tokens >> np.uint64(32)) * np.uint64(s.parts)) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(s.parts, np.uint64)
             # tokens are sorted, and parts are ranges of their upper halves
-            first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
-            sums[part[first].astype(np.int64)] = np.add.reduceat(spread, first)
-            out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(space << 32))))
-    return np.concatenate(out).view(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            if len(first):
+                sums[part[first]] = np.add.reduceat(spread, first)
+            sigs = mix(sums + mix(np.arange(s.parts, dtype=np.uint64) + np.uint64(s.number << 32)))
+            out.append(sigs if s.parts - len(first) > s.spare else sigs[part[first]])
+    return (np.concatenate(out) & _SIG).view(np.int64)
 
 
 def _over_rows(fn, out_names: list[str], out_types: list[pa.DataType]):
@@ -88,12 +136,32 @@ def _over_rows(fn, out_names: list[str], out_types: list[pa.DataType]):
     return run
 
 
+def common_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
+    """Sorted shingles that occur in several unlike documents of a bounded sample.
+
+    Documents with the same smallest shingle are taken as alike: what near copies share is not common, it is what should
+    bring them together.
+    """
+    some = docs.select(text_hash(F.col("text")).alias("h")).distinct().orderBy(F.xxhash64("h"), "h").limit(s.sample_docs)
+    picked = docs.select("text", text_hash(F.col("text")).alias("h")).join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"]).select("text")
+
+    def one(text):
+        t = shingles(text, s.shingle).view(np.int64)
+        return (int(t[0]), t.tolist()) if len(t) else None
+
+    rows = picked.mapInArrow(_over_rows(one, ["least", "t"], [pa.int64(), pa.list_(pa.int64())]), "least long, t array<long>")
+    seen = rows.select("least", F.explode("t").alias("t")).groupBy("t", "least").count()
+    seen = seen.groupBy("t").agg(F.count("*").alias("kinds"), F.sum("count").alias("docs")).where((F.col("kinds") >= s.common) & (2 * F.col("kinds") >= F.col("docs")))
+    return np.sort(seen.select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def set_table(docs: DataFrame, s: Settings) -> DataFrame:
     """Stored rows (doc_id, th, n, cls, sigs) of all documents: text hash, set size and fingerprint, signatures of its parts."""
+    hot = common_shingles(docs, s)
 
     def one(doc_id, th, text):
         t = shingles(text, s.shingle)
-        return doc_id, th, len(t), fingerprint(t), signatures(t, s.percent).tolist() if len(t) else []
+        return doc_id, th, len(t), fingerprint(t), signatures(t, s.percent, hot).tolist() if len(t) else []
 
     run = _over_rows(one, ["doc_id", "th", "n", "cls", "sigs"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text")
@@ -114,16 +182,21 @@ def membership(sets: DataFrame) -> DataFrame:
 
 def class_tokens(docs: DataFrame, sets: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """Stored (cls, n, tokens): the sets of the wanted classes, each from its smallest document."""
-    ids = sets.where("n > 0 and doc_id is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = stored(ids.select("doc_id").distinct(), "class-documents")
+    # one row per class: its smallest document; a row that occurs several times is read once
+    rows = sets.where("n > 0 and doc_id is not null").join(wanted, "cls", "left_semi")
+    row = F.struct("doc_id", "th")
+    best = rows.groupBy("cls", row.alias("row")).agg(F.count("*").alias("times")).groupBy("cls").agg(F.min(F.struct("row", "times")).alias("b"))
+    ids = stored(best.select("cls", F.col("b.row.doc_id").alias("doc_id"), F.col("b.row.th").alias("th"), F.col("b.times").alias("times")), "class-documents")
 
-    def one(text):
+    def one(cls, text):
         t = shingles(text, s.shingle)
-        return (fingerprint(t), len(t), t.tobytes()) if len(t) else None
+        return cls, len(t), t.tobytes()
 
     run = _over_rows(one, ["cls", "n", "tokens"], [pa.int64(), pa.int64(), pa.binary()])
-    found = _looked_up(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text").mapInArrow(run, "cls long, n long, tokens binary")
-    return stored(found.dropDuplicates(["cls"]), "class-tokens")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text")
+    found = _looked_up(texts, ids, ["doc_id", "th"]).select("cls", "times", "text")
+    once, again = found.where("times = 1").select("cls", "text"), found.where("times > 1").dropDuplicates(["cls"]).select("cls", "text")
+    return stored(once.unionByName(again).mapInArrow(run, "cls long, n long, tokens binary"), "class-tokens")
 
 
 def _tokens(b: bytes) -> np.ndarray:
@@ -168,10 +241,13 @@ def opened_pairs(diffs: DataFrame, comps: DataFrame, s: Settings) -> DataFrame:
     unique = F.col("apart") - F.col("shared")
     indexed = cells.where(F.col("rank") <= F.col("apart") - F.greatest(need, F.lit(1)) + 1 - unique)
     probing = cells.where(~F.col("linked")).where(F.col("rank") <= F.col("limit") + 1 - unique)
-    right = indexed.select("leader", "token", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    left = probing.select("leader", "token", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    side = lambda df, x: df.select(
+        "leader", "token", F.col("cls").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("apart").alias(f"d{x}"), (F.col("shared") - F.col("rank")).alias(f"r{x}"))
+    left, right = side(probing, "a"), side(indexed, "b")
     size = (100 * F.col("na") >= s.percent * F.col("nb")) & (100 * F.col("nb") >= s.percent * F.col("na"))
-    pairs = left.join(right, ["leader", "token"]).where((F.col("ca") != F.col("cb")) & size)
+    # position: with this as their first common difference, enough of them must be left in both to come within the limit
+    reach = F.col("da") + F.col("db") - 2 * (1 + F.least("ra", "rb")) <= far(F.col("na") + F.col("nb"))
+    pairs = left.join(right, (left["leader"] == right["leader"]) & (left["token"] == right["token"]) & (left["ca"] != right["cb"]) & size & reach)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
