@@ -2,10 +2,14 @@
 
 Lines without a word take no part. From each line on, the shortest run of lines that holds ``gram_words`` words is a gram.
 Among the grams that begin within the next ``window_words - gram_words`` words the smallest hash is kept as a fingerprint, so
-every run of at least ``window_words`` words that two documents share has a fingerprint in common. All occurrences of a
-fingerprint are compared with its first one (smallest document, then smallest line); from there the match is extended line
-by line in both directions, and the run is deleted from the later place. Work per fingerprint is one comparison per
-occurrence: no pairs among the occurrences.
+every run of at least ``window_words`` words that two places share has a fingerprint in common.
+
+Long runs: in the documents with a fingerprint that occurs again, every shortest run of lines with ``window_words`` words,
+read forward from its first line or backward from its last, is compared with the first place that has the same run
+(smallest document, then smallest line), and deleted from all later ones. Any shared run of that many words or more is
+covered by such runs from end to end, however long its lines are, and whichever earlier place shares it. Shorter runs: all
+occurrences of a fingerprint are compared with its first one; from there the match is extended line by line in both
+directions. Work is one comparison per occurrence: no pairs among the occurrences.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ def fingerprints(docs: DataFrame, s: Settings) -> DataFrame:
         (F.sum("n").over(ahead(s.window_words)) >= s.window_words).alias("full"),
     )
     lines = lines.withColumns({"g1": F.when(F.col("gram").isNotNull(), F.xxhash64("gram")), "g2": F.when(F.col("gram").isNotNull(), F.xxhash64(F.lit(1), F.col("gram")))}).drop("gram")
-    reach = s.window_words + s.gram_words
+    reach = s.window_words  # a longer run is a matter of ``long_runs``
     lines = lines.select(
         "*", F.min(F.when(F.col("g1").isNotNull(), F.struct("g1", -F.col("k")))).over(by_words.rangeBetween(0, s.window_words - s.gram_words)).alias("least"),
         F.collect_list(F.struct("k", "line", "h")).over(by_words.rangeBetween(-reach, reach)).alias("near"),
@@ -72,11 +76,35 @@ def _run(near: Column, other: Column, k: Column, diag: Column, step: int) -> Col
     )
 
 
+def long_runs(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc, th, k, g1, g2, got): the shortest runs with ``window_words`` words from each line on and, where they are others, up to each line."""
+    key = W.partitionBy(*KEY)
+    lines = lines_of(docs).groupBy(*KEY, "line").agg(F.first("h").alias("h"), F.first("n").alias("n"))
+    up = key.orderBy("line")
+    lines = lines.select("*", F.row_number().over(up).alias("k"), F.sum("n").over(up).alias("e")).withColumn("b", F.col("e") - F.col("n"))
+    ahead, back = key.orderBy("b").rangeBetween(0, s.window_words - 1), key.orderBy("e").rangeBetween(1 - s.window_words, 0)
+    run = lambda over, full: F.when(full, F.struct(F.collect_list("h").over(over).alias("hs"), F.collect_list("line").over(over).alias("got")))
+    lines = lines.select("*", run(ahead, F.sum("n").over(ahead) >= s.window_words).alias("fore"))
+    # with fewer words before its last line, a run is that of its first line
+    lines = lines.select("*", run(back, F.sum("n").over(back) - F.col("n") >= s.window_words).alias("aft"))
+    runs = lines.select(*KEY, "k", F.explode(F.array_compact(F.array("fore", "aft"))).alias("r"))
+    return runs.select(*KEY, "k", F.xxhash64("r.hs").alias("g1"), F.xxhash64(F.lit(1), "r.hs").alias("g2"), F.col("r.got").alias("got"))
+
+
+def first_places(marks: DataFrame) -> DataFrame:
+    """(g1, g2, src): the first place of what occurs more than once."""
+    return marks.groupBy("g1", "g2").agg(F.min(F.struct("doc", "th", "k")).alias("src"), F.count("*").alias("times")).where("times > 1").drop("times")
+
+
 def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc, th, cut): numbers of the lines (from 0) to delete from each document that has later repeats."""
     marks = stored(fingerprints(docs, s), "fingerprints")
     spot = F.struct("doc", "th", "k")
-    first = marks.groupBy("g1", "g2").agg(F.min(spot).alias("src"), F.count("*").alias("times")).where("times > 1").drop("times")
+    first = stored(first_places(marks), "first-places")
+    again = marks.join(first, ["g1", "g2"]).select(F.col("doc").alias("d0"), F.col("th").alias("t0")).distinct()
+    some = docs.select("doc_id", "text").join(again, F.col("doc_id").eqNullSafe(F.col("d0")) & (text_hash(F.col("text")) == F.col("t0")), "left_semi")
+    runs = stored(long_runs(some, s), "long-runs")
+    late = runs.join(first_places(runs), ["g1", "g2"]).where(~spot.eqNullSafe(F.col("src"))).select(*KEY, "got")
     hits = marks.select("g1", "g2", *KEY, "k").join(first, ["g1", "g2"]).where(~spot.eqNullSafe(F.col("src")))
     hits = hits.select(*KEY, "k", F.col("src.doc").alias("sdoc"), F.col("src.th").alias("sth"), F.col("src.k").alias("sk"))
     here = marks.select(F.col("doc").alias("d0"), F.col("th").alias("t0"), F.col("k").alias("k0"), "near")
@@ -88,7 +116,7 @@ def repeated_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # inside one document the run must not reach its own source
     near = F.when(same, F.filter("near", lambda e: e["k"] > F.col("sk"))).otherwise(F.col("near"))
     run = F.concat(*(_run(near, F.col("snear"), F.col("k"), diag, step) for step in (1, -1)))
-    cut = hits.select(*KEY, F.explode(run).alias("line")).groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("cut"))
+    cut = hits.select(*KEY, run.alias("got")).unionByName(late).select(*KEY, F.explode("got").alias("line")).groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("cut"))
     return cut
 
 
