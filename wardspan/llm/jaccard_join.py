@@ -174,8 +174,11 @@ def _looked_up(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataF
 
 
 def membership(sets: DataFrame) -> DataFrame:
-    """Stored (cls, leader): distinct memberships in groups of two classes or more; leaders are members of their groups."""
-    parts = sets.where("n > 0").select("cls", F.explode("sigs").alias("sig"))
+    """Stored (cls, leader): distinct memberships in groups of two classes or more; leaders are members of their groups.
+
+    Rows without id are linked with nothing, so they take no part: as leaders they would have no stored set.
+    """
+    parts = sets.where("n > 0 and doc_id is not null").select("cls", F.explode("sigs").alias("sig"))
     leads = stored(parts.groupBy("sig").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("sig", "leader"), "leaders")
     return stored(_looked_up(parts, leads, "sig").select("cls", "leader").distinct(), "groups")
 
