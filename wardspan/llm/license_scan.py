@@ -1,5 +1,7 @@
-"""License scan as an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan as an exact set-similarity join of text blocks with license templates.
 
+A block is a line or, for notices that are wrapped, what stands around a line break: the n words before it and the n words
+after it, where n is the number of words of the longest template. Any n words in a row stand in a line or in such a block.
 A block matches a template if it contains at least ``percent`` of the template's distinct words. Words are ordered by their
 frequency in the whole corpus, rarest first. Prefix filter: of a template with n words of which r are required, a matching
 block has one of the n - r + 1 rarest. Length filter: a block needs r of the templates' words in all. Positional filter: after
@@ -8,13 +10,14 @@ a common word, enough words must be left in both to reach r. What passes is veri
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.llm.common import stored, text_hash
+from wardspan.llm.common import let, prefix_sums, stored, text_hash
 
 #: Separators of words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,25 +90,36 @@ def _div2(x: Column) -> Column:
 
 
 def document_rows(docs: DataFrame, order: list[str], s: Settings) -> DataFrame:
-    """Stored (doc_id, th, n_words, places, blocks): phrases found, and the template words of lines that hold a prefix word."""
-    prefix, least = set(), min((required(len(token_set(t)), s.percent) for _, t in s.templates), default=1)
-    rank = {w: i for i, w in enumerate(order)}
-    for _, t in s.templates:
-        words = sorted(token_set(t), key=rank.__getitem__)
-        prefix |= set(words[: len(words) - required(len(words), s.percent) + 1])
+    """Stored (doc_id, th, n_words, places, blocks): phrases found, and the template words of the blocks of texts that hold
+    enough words of some template. Blocks of line i and of the break behind it have the numbers 2 i and 2 i + 1."""
+    needs = [(token_set(t), required(len(token_set(t)), s.percent)) for _, t in s.templates]
+    least = min((need for _, need in needs), default=1)
+    reach = max((len(re.sub(GAP, " ", t.lower()).split()) for _, t in s.templates), default=1)
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text_hash(F.col("text")).alias("th"), text.alias("t"), words_of(text).alias("w"))
     possible = F.lit(False)
     for phrase, _ in s.phrases:
         possible = possible | F.forall(F.array(*map(F.lit, phrase.split())), _in(F.col("w")))
     literal = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
-    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("block"), F.array_intersect(literal(order), words_of(x)).alias("x")))
-    lines = F.filter(lines, lambda b: F.size(b["x"]) >= least)
+    enough = let(F.array_intersect(literal(order), F.col("w")), lambda x: functools.reduce(lambda a, b: a | b, (F.size(F.array_intersect(literal(ws), x)) >= need for ws, need in needs), F.lit(False)))
+    block = lambda i, ws: F.struct(i.cast("int").alias("block"), F.array_intersect(literal(order), ws).alias("x"))
+    lines = F.transform(F.split("t", "\n"), lambda x: words_of(x))
+    ends = let(lines, lambda ls: prefix_sums(F.transform(ls, lambda l: F.size(l).cast("long"))))
+    first = lambda end: F.greatest(end - reach, F.lit(0).cast("long"))
+
+    def around(end: Column) -> Column:
+        return F.slice(F.col("w"), (first(end) + 1).cast("int"), (end + reach - first(end)).cast("int"))
+
+    # a line without words has its break where the one before it is
+    breaks = let(ends, lambda es: F.transform(F.filter(F.sequence(F.lit(0), F.size(es) - 3), lambda i: F.get(es, i + 1) > F.get(es, i)), lambda i: block(2 * i + 1, around(F.get(es, i + 1)))))
+    many = F.size(F.split("t", "\n")) > 1
+    blocks = F.concat(F.transform(lines, lambda ws, i: block(2 * i, ws)), F.when(many, breaks).otherwise(F.array().cast("array<struct<block:int,x:array<string>>>")))
+    blocks = F.filter(blocks, lambda b: F.size(b["x"]) >= least)
     none = "array<struct<block:int,x:array<string>>>"
     return stored(df.select(
         "doc_id", "th", F.size("w").cast("long").alias("n_words"),
         F.when(possible, phrase_places(F.col("w"), s.phrases)).otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>")).alias("places"),
-        F.when(F.arrays_overlap("w", literal(sorted(prefix))), lines).otherwise(F.array().cast(none)).alias("blocks"),
+        F.when(enough, blocks).otherwise(F.array().cast(none)).alias("blocks"),
     ), "license-rows")
 
 
@@ -143,8 +157,8 @@ def _not(k: int):
 def scanned(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    score: the greatest containment of a matched template, 1 where a phrase stands, else 0. blocks: (line, label, containment).
-    NULL and empty texts have no words and no labels. Repeated rows are alike; extra columns do not matter; an empty table
+    score: the greatest containment of a matched template, 1 where a phrase stands, else 0. blocks: (block, label, containment);
+    line i has the number 2 i there, the break behind it 2 i + 1. NULL and empty texts have no words and no labels. Repeated rows are alike; extra columns do not matter; an empty table
     gives an empty result.
     """
     order = global_order(docs, sorted({w for _, t in s.templates for w in token_set(t)}))
