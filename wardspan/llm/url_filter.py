@@ -15,24 +15,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.llm.common import fresh, let
+from wardspan.llm.common import fresh, let, stored
 
 #: Fixed values: (rule, verdict); a rule is host/path, the host with all its subdomains, the path as a prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Suffixes of one kind up to which their shares are broadcast; beyond, they are joined by a shuffle.
+_BROADCAST_ROWS = 200_000
 FEATURES = ("f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_query", "f_hyphens", "f_longest", "f_top", "f_site", "f_first", "f_section")
 
 
 @dataclass(frozen=True)
 class Settings:
     """train_rows: labelled URLs at most to which the trees are fitted (those with the smallest hashes). prior: labelled
-    URLs' worth of weight of the mean share in a suffix statistic. suffixes: suffixes at most whose statistics are used,
-    the most frequent; others count as the mean."""
+    URLs' worth of weight of the mean share in a suffix statistic; suffixes of no labelled URL count as the mean."""
 
     train_rows: int = 20_000
     trees: int = 12
     depth: int = 3
     prior: float = 20.0
-    suffixes: int = 2_000
     seed: int = 7
 
 
@@ -100,7 +100,6 @@ def verdicts(pages: DataFrame, s: Settings = Settings(), rules=RULES) -> DataFra
     columns of the input with these names are replaced; an empty table gives an empty result. Where the labelled URLs do
     not hold both verdicts nothing can be learnt and the rest gets the only verdict there is, or 'allow'.
     """
-    spark = pages.sparkSession
     verdict = dict(rules)
     added = ("host", "path", "rule", "verdict", "score")
     base = pages.drop(*added).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
@@ -112,23 +111,23 @@ def verdicts(pages: DataFrame, s: Settings = Settings(), rules=RULES) -> DataFra
     label = (decided == "block").cast("double")
     y = fresh(own, "label")
     known = base.where("rule is not null").select("url", "host", "path", label.alias(y))
-    # suffix statistics over all labelled URLs; the kept ones are bounded by the settings and go out as literals
-    parts = known.select(F.explode(F.array(*(F.concat(F.lit(k + ":"), c) for k, c in suffixes(F.col("host"), F.col("path")).items()))).alias("suffix"), y)
-    stats = parts.groupBy("suffix").agg(F.sum(y).alias("blocked"), F.count("*").alias("n"))
-    top = stats.orderBy(F.desc("n"), "suffix").limit(s.suffixes).collect()
-    n, blocked = (sum(x) for x in zip(*((r["n"], r["blocked"]) for r in top if r["suffix"].startswith("top:")), strict=True)) if top else (0, 0.0)
+    # suffix statistics of all labelled URLs: every suffix keeps its own
+    parts = known.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("suffix")) for k, c in suffixes(F.col("host"), F.col("path")).items()))).alias("p"), y)
+    stats = stored(parts.groupBy("p.kind", "p.suffix").agg(F.sum(y).alias("blocked"), F.count("*").alias("n")), "suffixes")
+    kinds = {r["kind"]: r for r in stats.groupBy("kind").agg(F.count("*").alias("suffixes"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()}
+    n, blocked = (kinds["top"]["n"], kinds["top"]["blocked"]) if kinds else (0, 0.0)
     if not n or blocked in (0, n):
         only = "block" if n and blocked == n else "allow"
         return base.select(*own, "host", "path", "rule", F.coalesce(decided, F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     mean = blocked / n
-    share = spark.createDataFrame([(r["suffix"], float((r["blocked"] + s.prior * mean) / (r["n"] + s.prior))) for r in top], "suffix string, share double")
+    share = (F.col("blocked") + s.prior * mean) / (F.col("n") + s.prior)
 
     def featured(df: DataFrame) -> DataFrame:
         feats = lexical(F.col("url"), F.col("host"), F.col("path"))
         keys = suffixes(F.col("host"), F.col("path"))
-        for k, c in keys.items():  # as many rows as the settings allow, so each lookup is a broadcast
-            own = share.select(F.col("suffix").alias(f"k_{k}"), F.col("share").alias(f"s_{k}"))
-            df = df.join(F.broadcast(own), F.concat(F.lit(k + ":"), c) == F.col(f"k_{k}"), "left")
+        for k, c in keys.items():
+            table = stats.where(F.col("kind") == k).select(F.col("suffix").alias(f"k_{k}"), share.alias(f"s_{k}"))
+            df = df.join(F.broadcast(table) if kinds[k]["suffixes"] <= _BROADCAST_ROWS else table, c == F.col(f"k_{k}"), "left")
         feats |= {f"f_{k}": F.coalesce(F.col(f"s_{k}"), F.lit(mean)) for k in keys}
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df.withColumns(feats))
 
