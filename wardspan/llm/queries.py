@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import jaccard_join, latent_decontamination, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import conversation_repair, jaccard_join, latent_decontamination, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op4_latent_decontamination(spark, sf_dir):
 @query
 def op3_page_difference(spark, sf_dir):
     return page_difference.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.summaries(conversation_repair.edits(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
