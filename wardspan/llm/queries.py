@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import conversation_repair, jaccard_join, latent_decontamination, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import conversation_repair, jaccard_join, latent_decontamination, lexical_search, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,32 @@ def op3_page_difference(spark, sf_dir):
 @query
 def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.summaries(conversation_repair.edits(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+with terms as (
+  select doc_id, row_number() over () as rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), lengths as (select rid, doc_id, len(ws)::bigint as n from terms where len(ws) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as length from lengths),
+asked as (
+  select item_id, w, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark) group by all
+), tf as (
+  select rid, w, count(*)::bigint as tf from (select rid, unnest(ws) as w from terms) where w in (select w from asked) group by all
+), weights as (
+  select w, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as weight from tf, total group by w, docs
+), scores as (
+  select item_id, rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::bigint as score
+  from asked join weights using (w) join tf using (w) join lengths using (rid), total group by all
+), placed as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores join lengths using (rid) where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from placed where rank <= 20
+"""
