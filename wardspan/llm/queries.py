@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm import conversation_repair, jaccard_join, latent_decontamination, lexical_search, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_rules, secret_scan, url_filter
+from wardspan.llm import conversation_repair, jaccard_join, latent_decontamination, lexical_search, license_scan, line_dedup, mixture_packing, page_difference, pii_bootstrap, quality_classifier, quality_rules, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.summaries(conversation_repair.edits(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
 
 
+@query
+def op12_quality_classifier(spark, sf_dir):
+    return quality_classifier.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_lexical_search(spark, sf_dir):
     return lexical_search.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
