@@ -12,26 +12,27 @@ fitted to a histogram.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.llm.common import stored
-from wardspan.llm.shingle_sets import WORD, mix
-
-_PAIR, _NEXT, _OUTLINE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
-_SAME = b"="
-_CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
-_REMEMBERED = 300_000
-_known: dict[bytes, int] = {}
-_hashes: list[np.ndarray] = [np.empty((2, 0), np.uint64)]
+from wardspan.llm.shingle_sets import mix
+
+_PAIR, _NEXT, _OUTLINE, _SAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
+_BYTES = np.arange(256, dtype=np.uint64)
+_IS_SPACE = np.isin(_BYTES, [32, *range(9, 14)])
+_UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+_CLASS = np.where(_LOWER, 97, np.where(_UPPER, 65, np.where((_BYTES >= 48) & (_BYTES <= 57), 48, _BYTES))).astype(np.uint8)
+with np.errstate(over="ignore"):
+    _LETTER = mix(np.where(_UPPER, _BYTES + np.uint64(32), _BYTES) + _PAIR)
+    _SIGN = mix(_CLASS.astype(np.uint64) + _OUTLINE)
+    #: Odd multipliers of the places in a word; places repeat after so many bytes.
+    _PLACE = mix(np.arange(1, 4_097, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 4_096
 _STEPS = 256  # of the margin's histogram, per unit; margins of unit vectors are cut at 16 either side
 #: Rows of a label table up to which it is broadcast; beyond, it is joined by a shuffle.
@@ -53,34 +54,47 @@ class Settings:
     threshold: float = 0.7
 
 
-def _word_numbers(words: list[bytes]) -> np.ndarray:
-    """Numbers of the words in the table of known hashes (word, outline)."""
-    if len(_known) > _REMEMBERED:
-        _known.clear()
-        _hashes[0] = np.empty((2, 0), np.uint64)
-    new = [w for w in dict.fromkeys(words) if w not in _known]
-    if new:
-        _known.update(zip(new, range(len(_known), len(_known) + len(new)), strict=True))
-        outline = [_RUNS.sub(rb"\1", w.translate(_CLASSES)) for w in new]
-        _hashes[0] = np.hstack([_hashes[0], np.array([[xxhash.xxh64_intdigest(w.lower()) for w in new], [xxhash.xxh64_intdigest(o) for o in outline]], np.uint64)])
-    return np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+def _word_sums(letters: np.ndarray, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words: sums of letter times place over each word's bytes, as differences of one running sum."""
+    with np.errstate(over="ignore"):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * _PLACE[place % len(_PLACE)])])
+        return mix(running[ends] - running[starts])
+
 
+def indicator_sets(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, indicator) of all texts, sorted and distinct: the text's position, and a number below 2 ** bits.
 
-def indicators(text: str | None, bits: int) -> np.ndarray:
-    """Sorted distinct numbers below 2 ** bits of the text's n-grams; empty without words."""
-    at = _word_numbers(WORD.findall((text or "").encode("utf-8", "surrogatepass")))
-    word, outline = _hashes[0][:, at]
+    Words are what stands between ASCII white space; they are found and hashed for all texts at once.
+    """
+    encoded = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    data = np.frombuffer(b"\n" + b"".join(encoded), np.uint8)
+    space = _IS_SPACE[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    text = np.searchsorted(np.cumsum([len(e) for e in encoded]) + 1, starts, "right")
+    at = np.arange(len(data))
+    begin = np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
+    word = _word_sums(_LETTER[data], at - begin, starts, ends)
+    kind = _CLASS[data]
+    turn = np.concatenate([[True], kind[1:] != kind[:-1]]) | (at == begin)  # one sign for equal ones in a row
+    turned = np.cumsum(turn)
+    outline = _word_sums(np.where(turn, _SIGN[data], np.uint64(0)), turned - turned[begin], starts, ends)
+    together = text[1:] == text[:-1]
+    outline[1:][together & (word[1:] == word[:-1])] = _SAME
     with np.errstate(over="ignore"):
-        outline = outline.copy()
-        outline[1:][at[1:] == at[:-1]] = xxhash.xxh64_intdigest(_SAME)
-        grams = [mix(word), mix(outline + _OUTLINE)]
-        grams += [mix(x[:-1] * _PAIR + x[1:] * _NEXT + k) for x, k in ((word, np.uint64(1)), (outline, _OUTLINE))]
-    return np.unique(np.concatenate(grams) >> np.uint64(64 - bits)).astype(np.int32)
+        pairs = [mix(x[:-1] * _PAIR + x[1:] * _NEXT + k)[together] for x, k in ((word, _PAIR), (outline, _OUTLINE))]
+        grams = np.concatenate([word, mix(outline + _OUTLINE), *pairs]) >> np.uint64(64 - bits)
+    owner = np.concatenate([text, text, text[1:][together], text[1:][together]])
+    keys = np.sort((owner << bits) + grams.astype(np.int64))
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+    return keys >> bits, keys & ((1 << bits) - 1)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, int(batch.num_rows * 8e6 / (batch.nbytes + 1)))
+        step = max(1, int(batch.num_rows * 2e6 / (batch.nbytes + 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
@@ -96,7 +110,9 @@ def training_table(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _texts(batches):
-            gaps = [np.diff(indicators(t, s.bits), prepend=0).astype(np.int32).tobytes() for t in piece.column(2).to_pylist()]
+            text, ids = indicator_sets(piece.column(2).to_pylist(), s.bits)
+            cuts = np.searchsorted(text, np.arange(1, piece.num_rows))
+            gaps = [np.diff(x, prepend=0).astype(np.int32).tobytes() for x in np.split(ids, cuts)]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(gaps, pa.binary())], ["good", "part", "gaps"])
 
     return stored(rows.mapInArrow(run, "good boolean, part int, gaps binary"), "labelled-indicators")
@@ -232,8 +248,10 @@ class Model:
     def margin(self, ids: np.ndarray) -> float:
         return float(self.scaled[ids].sum()) / max(1e-9, float(np.sqrt(self.squares[ids].sum()))) + self.bias
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(indicators(text, self.settings.bits)) + self.b, -40, 40))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        text, ids = indicator_sets(texts, self.settings.bits)
+        dots, squares = (np.bincount(text, x[ids], len(texts)) for x in (self.scaled, self.squares))
+        return 1 / (1 + np.exp(-np.clip(self.a * (dots / np.maximum(1e-9, np.sqrt(squares)) + self.bias) + self.b, -40, 40)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
@@ -261,8 +279,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _texts(batches):
-            scores = [model.score(t) for t in piece.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= model.settings.threshold) for x in scores], pa.int32())], ["doc_id", "score", "predicted"])
+            scores = model.scores(piece.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores), pa.array(scores >= model.settings.threshold).cast(pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
