@@ -36,7 +36,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STORED.append((spark, _OWNER[-1], path))
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
 
 
 @contextlib.contextmanager
@@ -49,13 +51,23 @@ def storing_for(owner: str):
         _OWNER.pop()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``stored`` returned, once nothing that is still to be computed reads it."""
+    _remove(df.sparkSession, df._stored_at)
+    _STORED[:] = [x for x in _STORED if x[2] != df._stored_at]
+
+
 def release(spark: SparkSession, owner: str = "query") -> None:
     """Remove the owner's stored tables; call it once the results that read them are written."""
     left = []
     for session, own, path in _STORED:
         if session is spark and own == owner:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         else:
             left.append((session, own, path))
     _STORED[:] = left

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardspan.llm.common import fresh, stored, text_hash
+from wardspan.llm.common import discard, fresh, stored, text_hash
 from wardspan.llm.components import components
 from wardspan.llm.shingle_sets import fingerprint, mix, shingles
 
 #: Rows of a lookup table up to which it is broadcast; beyond, it is joined by a shuffle.
 _BROADCAST_ROWS = 1_500_000
 #: Largest to smallest size of a size class; at least 100 / percent, so that linked sets are at most one class apart.
-_RATIO = 1.25
+_RATIO = 1.5
 _SIG = np.uint64((1 << 48) - 1)
 
 
@@ -176,11 +176,14 @@ def _looked_up(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataF
 def membership(sets: DataFrame) -> DataFrame:
     """Stored (cls, leader): distinct memberships in groups of two classes or more; leaders are members of their groups.
 
-    Rows without id are linked with nothing, so they take no part: as leaders they would have no stored set.
+    One shuffle: inside each signature's rows, sorted by class, the first class leads. Rows without id are linked with nothing,
+    so they take no part: as leaders they would have no stored set.
     """
     parts = sets.where("n > 0 and doc_id is not null").select("cls", F.explode("sigs").alias("sig"))
-    leads = stored(parts.groupBy("sig").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("sig", "leader"), "leaders")
-    return stored(_looked_up(parts, leads, "sig").select("cls", "leader").distinct(), "groups")
+    first = F.first("cls").over(W.partitionBy("sig").orderBy("cls"))
+    led = parts.select("cls", first.alias("leader")).where("cls <> leader").distinct()
+    led = stored(led, "led")
+    return stored(led.union(led.select("leader", "leader").distinct()), "groups")
 
 
 def class_tokens(docs: DataFrame, sets: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -270,8 +273,11 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 def components_of(docs: DataFrame, s: Settings) -> DataFrame:
     """One row per row of ``docs``: doc_id, th, n_shingles, component_id."""
-    sets = set_table(docs, s)
-    groups = membership(sets)
+    signed = set_table(docs, s)
+    groups = membership(signed)
+    # the signatures, far longer than all other columns, are not needed any more
+    sets = stored(signed.drop("sigs"), "classes")
+    discard(signed)
     tokens = class_tokens(docs, sets, groups.select("cls").distinct(), s)
     diffs = differences(groups, tokens, s)
     links = diffs.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
@@ -308,14 +314,14 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     linked with nothing and stay.
     """
     rows = components_of(docs, s)
-    best = rows.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("_th"), F.count("*").alias("_times"))
-    best = stored(best.withColumnRenamed("doc_id", "_id"), "kept")
-    h, free = fresh(docs.columns, "text_hash"), fresh(docs.columns, "free")
+    h, free, of, least, times = (fresh(docs.columns, x) for x in ("text_hash", "free", "kept_id", "least_hash", "times"))
+    best = rows.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias(of)).agg(F.min("th").alias(least), F.count("*").alias(times))
+    best = stored(best, "kept")
     # the words of a text are what is left without ASCII white space
     marked = docs.withColumn(h, text_hash(F.col("text"))).withColumn(free, F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    chosen = marked.where(~F.col(free)).join(best, (F.col("doc_id") == F.col("_id")) & (F.col(h) == F.col("_th")))
-    once = chosen.where("_times = 1").select(*docs.columns)
-    repeated = chosen.where("_times > 1").dropDuplicates(["doc_id", h]).select(*docs.columns)
+    chosen = marked.where(~F.col(free)).join(best, (F.col("doc_id") == F.col(of)) & (F.col(h) == F.col(least)))
+    once = chosen.where(F.col(times) == 1).select(*docs.columns)
+    repeated = chosen.where(F.col(times) > 1).dropDuplicates(["doc_id", h]).select(*docs.columns)
     return once.unionByName(repeated).unionByName(marked.where(free).select(*docs.columns))
 
 

@@ -128,9 +128,9 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     words than a window, come out as they went in; lines without a word are never deleted. Empty tables give empty results.
     """
     cut = repeated_lines(docs, s)
-    h, c = fresh(docs.columns, "text_hash"), fresh(docs.columns, "cut")
-    cut = cut.select(F.col("doc").alias("_cut_doc"), F.col("th").alias("_cut_th"), F.col("cut").alias("_cut_lines"))
-    df = docs.withColumn(h, text_hash(F.col("text"))).join(cut, F.col("doc_id").eqNullSafe(F.col("_cut_doc")) & (F.col(h) == F.col("_cut_th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cut_lines", i)), "\n")
-    text = F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(left).alias("text")
-    return df.select(*(text if x == "text" else F.col(x) for x in docs.columns), F.coalesce("_cut_lines", F.array().cast("array<int>")).alias(c)), c
+    h, c, doc, th, lines = (fresh(docs.columns, x) for x in ("text_hash", "cut", "cut_doc", "cut_hash", "cut_lines"))
+    cut = cut.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("cut").alias(lines))
+    df = docs.withColumn(h, text_hash(F.col("text"))).join(cut, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(h) == F.col(th)), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(left).alias("text")
+    return df.select(*(text if x == "text" else F.col(x) for x in docs.columns), F.coalesce(lines, F.array().cast("array<int>")).alias(c)), c

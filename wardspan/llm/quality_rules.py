@@ -193,6 +193,7 @@ def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), stratum
 
 def keep(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; rejected ones are joined away by id and text."""
-    bad = judged(docs, labels, s, stratum).where("not kept").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
-    out = docs.withColumn(h := fresh(docs.columns, "text_hash"), text_hash(F.col("text")))
-    return out.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col(h) == F.col("_bad_text")), "left_anti").select(*docs.columns)
+    h, of, bad_text = (fresh(docs.columns, x) for x in ("text_hash", "bad_id", "bad_text"))
+    bad = judged(docs, labels, s, stratum).where("not kept").select(F.col("doc_id").alias(of), F.col("text_hash").alias(bad_text)).distinct()
+    out = docs.withColumn(h, text_hash(F.col("text")))
+    return out.join(bad, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(h) == F.col(bad_text)), "left_anti").select(*docs.columns)

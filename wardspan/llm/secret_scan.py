@@ -173,17 +173,17 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame
     empty result. Overlapping matches of different rules are all kept.
     """
     found = candidates(docs, rules)
-    h, out = fresh(docs.columns, "text_hash"), fresh(docs.columns, "found")
+    h, out, doc, th, hit = (fresh(docs.columns, x) for x in ("text_hash", "found", "hit_doc", "hit_hash", "hit_rules"))
     df = docs.withColumn(h, text_hash(F.col("text")))
     indexed = {r.kind for r in rules if trigram_query(r.regex)}
     if found is not None:
-        found = found.select(F.col("doc").alias("_c_doc"), F.col("th").alias("_c_th"), F.col("rules").alias("_c_rules"))
-        df = df.join(found, F.col("doc_id").eqNullSafe(F.col("_c_doc")) & (F.col(h) == F.col("_c_th")), "left")
+        found = found.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("rules").alias(hit))
+        df = df.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(h) == F.col(th)), "left")
     else:
-        df = df.withColumn("_c_rules", F.array().cast("array<string>"))
+        df = df.withColumn(hit, F.array().cast("array<string>"))
     text = F.coalesce(F.col("text"), F.lit(""))
     quick = lambda r: text.rlike(r.probe) if r.probe else F.lit(True)
-    each = [_found(text, r, F.coalesce(F.array_contains("_c_rules", r.kind), F.lit(False)) if r.kind in indexed else quick(r)) for r in rules]
+    each = [_found(text, r, F.coalesce(F.array_contains(hit, r.kind), F.lit(False)) if r.kind in indexed else quick(r)) for r in rules]
     col = F.array(*(F.struct(F.lit(r.kind).alias("kind"), c.alias("spans")) for r, c in zip(rules, each)))
     return df.select(*docs.columns, col.alias(out)), out
 
