@@ -14,8 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
-    assert len(QUERIES) == 10 and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
+    assert len(QUERIES) == 13 and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
 def test_pipeline(spark, tmp_path):
