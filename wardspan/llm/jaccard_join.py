@@ -126,7 +126,7 @@ def _over_rows(fn, out_names: list[str], out_types: list[pa.DataType]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * 8e6 / (batch.nbytes + 1)))
+            step = max(1, int(batch.num_rows * 4e6 / (batch.nbytes + 1)))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 rows = [r for r in map(fn, *(c.to_pylist() for c in piece.columns)) if r is not None]

@@ -21,18 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.llm.common import stored
-from wardspan.llm.shingle_sets import mix
+from wardspan.llm.shingle_sets import IS_UPPER, LETTER, mix, word_bounds, word_sums
 
 _PAIR, _NEXT, _OUTLINE, _SAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 _BYTES = np.arange(256, dtype=np.uint64)
-_IS_SPACE = np.isin(_BYTES, [32, *range(9, 14)])
-_UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
-_CLASS = np.where(_LOWER, 97, np.where(_UPPER, 65, np.where((_BYTES >= 48) & (_BYTES <= 57), 48, _BYTES))).astype(np.uint8)
+_LOWER = ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+_CLASS = np.where(_LOWER, 97, np.where(IS_UPPER, 65, np.where((_BYTES >= 48) & (_BYTES <= 57), 48, _BYTES))).astype(np.uint8)
 with np.errstate(over="ignore"):
-    _LETTER = mix(np.where(_UPPER, _BYTES + np.uint64(32), _BYTES) + _PAIR)
     _SIGN = mix(_CLASS.astype(np.uint64) + _OUTLINE)
-    #: Odd multipliers of the places in a word; places repeat after so many bytes.
-    _PLACE = mix(np.arange(1, 4_097, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 4_096
 _STEPS = 256  # of the margin's histogram, per unit; margins of unit vectors are cut at 16 either side
 #: Rows of a label table up to which it is broadcast; beyond, it is joined by a shuffle.
@@ -54,13 +50,6 @@ class Settings:
     threshold: float = 0.7
 
 
-def _word_sums(letters: np.ndarray, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words: sums of letter times place over each word's bytes, as differences of one running sum."""
-    with np.errstate(over="ignore"):
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * _PLACE[place % len(_PLACE)])])
-        return mix(running[ends] - running[starts])
-
-
 def indicator_sets(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, indicator) of all texts, sorted and distinct: the text's position, and a number below 2 ** bits.
 
@@ -68,19 +57,16 @@ def indicator_sets(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.n
     """
     encoded = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     data = np.frombuffer(b"\n" + b"".join(encoded), np.uint8)
-    space = _IS_SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    starts, ends, begin = word_bounds(data)
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     text = np.searchsorted(np.cumsum([len(e) for e in encoded]) + 1, starts, "right")
     at = np.arange(len(data))
-    begin = np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-    word = _word_sums(_LETTER[data], at - begin, starts, ends)
+    word = word_sums(LETTER[data], at - begin, starts, ends)
     kind = _CLASS[data]
     turn = np.concatenate([[True], kind[1:] != kind[:-1]]) | (at == begin)  # one sign for equal ones in a row
     turned = np.cumsum(turn)
-    outline = _word_sums(np.where(turn, _SIGN[data], np.uint64(0)), turned - turned[begin], starts, ends)
+    outline = word_sums(np.where(turn, _SIGN[data], np.uint64(0)), turned - turned[begin], starts, ends)
     together = text[1:] == text[:-1]
     outline[1:][together & (word[1:] == word[:-1])] = _SAME
     with np.errstate(over="ignore"):
