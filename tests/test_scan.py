@@ -81,10 +81,11 @@ def test_percentiles_are_linear_and_exact(spark, skewed):
     np.testing.assert_allclose(got["b"], want[0.1])
 
 
-def test_value_bucket_is_monotone(spark):
+def test_value_slices_are_monotone(spark):
     vals = sorted([-1e9, -3.5, -0.2, -1e-7, 0.0, 1e-7, 0.3, 2.0, 2.01, 500.0, 1e12])
-    rows = spark.createDataFrame([(v,) for v in vals], "v double").select("v", S.value_bucket("v").alias("b")).collect()
-    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    d = S.value_slices(spark.createDataFrame([(v,) for v in vals], "v double"), [], "v", rows=2, most=8)
+    got = [r[S.SLICE] for r in d.orderBy("v").collect()]
+    assert got == sorted(got) and 4 <= len(set(got)) <= 8
 
 
 def test_weighted_percentile_equals_repeated_rows(spark):
@@ -109,7 +110,37 @@ def test_values_out_of_the_ordinary(spark):
     assert S.exact_percentiles(d, ["k"], "v", {"m": 0.5}).first()["m"] == 0.5
 
 
-def test_scores_spread_over_many_slices(spark):
-    d = spark.range(1_000_000).select((0.5 + F.col("id") / 2_000_000).alias("v"))
-    n = d.groupBy(S.value_bucket("v").alias("b")).count().agg(F.count("*").alias("slices"), F.max("count").alias("most")).first()
-    assert n["slices"] > 4000 and n["most"] < 500
+@pytest.mark.parametrize("shape", ["even", "skewed", "one value", "far apart"])
+def test_slices_are_about_equal_whatever_the_values(spark, shape):
+    """At most ``most`` summary rows, and no slice with many times the mean, on any distribution of distinct values."""
+    i = F.col("id")
+    v = {"even": 0.5 + i / 200_000, "skewed": F.exp(i / 2_000), "one value": F.when(i < 90_000, 0.0).otherwise(i), "far apart": F.pow(F.lit(-1.0), i) * F.pow(F.lit(1.01), i % 60_000)}[shape]
+    d = spark.range(100_000).select(v.cast("double").alias("v")).groupBy("v").count().drop("count")
+    rows = d.count()
+    n = S.value_slices(d, [], "v", rows=500, most=64).groupBy(S.SLICE).count().agg(F.count("*").alias("slices"), F.max("count").alias("largest")).first()
+    assert n["slices"] <= 64 and n["largest"] <= 2 * max(500, rows / 64)
+
+
+def test_slices_per_key_and_null_keys(spark):
+    rows = [(k, float(x)) for k in (None, 1, 2) for x in range(100)] + [(1, None)]
+    d = S.value_slices(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", rows=10, most=16)
+    got = d.groupBy("k").agg(F.countDistinct(S.SLICE).alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted((str(r["k"]), r["rows"]) for r in got) == [("1", 101), ("2", 100), ("None", 100)]
+    assert all(8 <= r["n"] <= 16 for r in got)
+
+
+def test_what_follows_over_a_hundred_thousand_buckets(spark):
+    """One key, a bucket per row: linear in the buckets (seconds), where a frame to the end would take minutes."""
+    d = spark.range(100_000).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
+    out = S.prefix_scan(d, ["k"], ["id"], F.col("id"), {"nx": ("next", "id"), "ns": ("next_seen", "v")})
+    wrong = out.filter(~F.col("nx").eqNullSafe(F.when(F.col("id") < 99_999, F.col("id") + 1)) | ~F.col("ns").eqNullSafe(F.when(F.col("id") < 99_999, (F.floor(F.col("id") / 3) + 1) * 3)))
+    assert wrong.count() == 0
+
+
+def test_no_plan_reads_to_the_end(spark):
+    """No registered operator of the scan family plans a frame that begins or ends with the last row of its group."""
+    d = spark.range(10).select(F.lit(1).alias("k"), "id", F.col("id").cast("double").alias("v"))
+    specs = {k: (k, "v") for k in ("sum", "max", "min", "last", "prev", "next", "next_seen", "total")}
+    for out in (S.prefix_scan(d, ["k"], ["id"], F.col("id") % 3, specs), S.weighted_ranks(d, ["k"], "v", {"n": F.lit(1)}), S.exact_percentiles(d, ["k"], "v", {"p": 0.5})):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "currentrow$(), unboundedfollowing$()" not in plan and ", 1, unboundedfollowing$()" not in plan

@@ -18,8 +18,6 @@ make, and the result of a scan that goes into another, should be a stored table
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +32,28 @@ def time_bucket(ts: Column | str, width_s: int = DAY) -> Column:
     return F.floor(epoch_us(ts) / F.lit(width_s * 1_000_000)).cast("long")
 
 
-def value_bucket(value: Column | str, per_octave: int = 4096) -> Column:
-    """Monotone slice number of a numeric value.
+SLICE = "__slice"
+
+
+def value_slices(df: DataFrame, keys: list[str], value: str, rows: int = 65_536, most: int = 1_024) -> DataFrame:
+    """``df`` with ``__slice``, the number of a slice of the value axis, rising with the value.
 
-    Every doubling of the magnitude has ``per_octave`` slices, so ten million scores between 0.5
-    and 1 lie in thousands of tasks' worth of slices, while the number of summary rows stays
-    bounded by the range of a double. Infinite values and, after all others as Spark sorts it, NaN
-    have slices of their own; NULL has none.
+    The edges are percentiles of a sketch per key (combined on the map side), so slices hold about ``rows`` rows each,
+    whatever the distribution, and there are at most ``most`` per key; a group of fewer rows is one slice. Rows of one value
+    are in one slice: combine them first. NULL is in the first slice, NaN in the last, as Spark sorts them.
     """
-    v = col(value).cast("double")
-    scale = per_octave / math.log(2.0)
-    far, top = 1e290, 1 << 40
-    inner = F.signum(v) * F.floor(F.ln(F.abs(v) * F.lit(1e6) + 1.0) * F.lit(scale))
-    outer = F.when(F.isnan(v), F.lit(2 * top)).when(v > far, F.lit(top)).when(v < -far, F.lit(-top))
-    return F.when(F.isnan(v) | (F.abs(v) > far), outer).otherwise(inner.cast("long"))
+    v = F.col(value).cast("double")
+    key = F.struct(F.lit(0).alias("__0"), *[F.col(k) for k in keys])
+    cuts = [i / most for i in range(1, most)]
+    edges = df.groupBy(key.alias("__key")).agg(F.percentile_approx(v, cuts).alias("e"), F.count(F.lit(1)).alias("n"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(most * rows) / F.col("n")).cast("int"))
+    edges = edges.select("__key", step.alias("__step"), "e").select(
+        "__key", F.coalesce(F.array_distinct(F.filter("e", lambda x, i: (i + 1) % F.col("__step") == 0)), F.array().cast("array<double>")).alias("__edges"))
+    # how many edges lie below the value, by halving
+    halves = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    below = F.aggregate(halves, F.lit(0), lambda at, k: F.when((at + k <= F.size("__edges")) & F.coalesce(F.get("__edges", at + k - 1) < v, F.lit(False)), at + k).otherwise(at))
+    found = F.when(F.size("__edges") > 0, below).otherwise(F.lit(0)).alias(SLICE)
+    return df.withColumn("__key", key).join(edges, "__key").select(*df.columns, found)
 
 
 def _order(order: list[Column | str]) -> list[Column]:
@@ -72,7 +78,8 @@ def prefix_scan(
     df = df.withColumn(GROUP, F.struct(*[F.col(k) for k in keys], bucket.alias(BUCKET)))
     w = Window.partitionBy(GROUP).orderBy(*ordered)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # frames that begin at the end are evaluated anew for every row, so what lies ahead is read backwards
+    after = Window.partitionBy(GROUP).orderBy(*[o.desc_nulls_last() for o in ordered]).rowsBetween(Window.unboundedPreceding, -1)
     pos = F.struct(*ordered)
 
     inside: dict[str, Column] = {}
@@ -81,7 +88,7 @@ def prefix_scan(
     kw = Window.partitionBy(*[F.col(GROUP)[k] for k in keys]) if keys else Window.partitionBy(F.lit(0))
     at = F.col(GROUP)[BUCKET]
     before = kw.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    behind = kw.orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    behind = kw.orderBy(at.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
 
     for name, (kind, expr) in specs.items():
         e = col(expr)
@@ -111,11 +118,11 @@ def prefix_scan(
             boxed = F.struct(e.alias("v"))
             inside[i] = F.lead(boxed).over(w)
             partial.append(F.min_by(boxed, pos).alias(p))
-            carry[c] = F.first(p, ignorenulls=True).over(behind)
+            carry[c] = F.last(p, ignorenulls=True).over(behind)
         elif kind == "next_seen":
-            inside[i] = F.first(e, ignorenulls=True).over(after)
+            inside[i] = F.last(e, ignorenulls=True).over(after)
             partial.append(F.min_by(e, F.when(e.isNotNull(), pos)).alias(p))
-            carry[c] = F.first(p, ignorenulls=True).over(behind)
+            carry[c] = F.last(p, ignorenulls=True).over(behind)
         else:
             raise ValueError(f"unknown scan kind {kind!r}")
 
@@ -230,7 +237,7 @@ def weighted_ranks(
     g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
     g = g.agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     specs = {f"{n}_upto": ("sum", n) for n in sums} | {f"{n}_all": ("total", n) for n in sums}
-    return prefix_scan(g, keys, [value], value_bucket(value), specs)
+    return prefix_scan(value_slices(g, keys, value), keys, [value], F.col(SLICE), specs).drop(SLICE)
 
 
 def exact_percentiles(
