@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,57 @@ def bootstrap_counts(units: DataFrame, unit: str, strata: list[str], n_boot: int
     return stored(times.join(u.select(*strata, unit, "__i"), [*strata, "__i"]).drop("__i"), "draws")
 
 
+#: Slots and units that are counted together: a cell of the routing holds about this many draws of each replicate.
+_SLOTS, _UNITS = 1_024, 1_024
+
+
+def bootstrap_arrays(units: DataFrame, unit: str, strata: list[str], n_boot: int, seed: int) -> DataFrame:
+    """The draws of ``bootstrap_counts`` as one row per unit: strata, unit, times (``n_boot`` little-endian 32-bit counts).
+
+    Every slot draws for all replicates at once. What a block of slots draws from a block of units goes out as one row, and
+    a block of units is counted in one table of units by replicates, whose size does not depend on the number of units: the
+    rows shuffled do not depend on the number of replicates. Units that are never drawn are left out.
+    """
+    u = units.select(*strata, unit).distinct().withColumn("__h", hash_unit(F.lit(seed), F.col(unit)))
+    slices = F.floor(F.col("__h") * (1 << 20)).cast("long")
+    one = F.lit(1).cast("long")
+    u = prefix_scan(u, strata, ["__h", unit], slices, {"__i": ("sum", one), "__n": ("total", one)})
+    stratum = F.to_json(F.struct(F.lit(0).alias("__0"), *[F.col(s) for s in strata]))
+    u = stored(u.select(*strata, unit, "__i", "__n", stratum.alias("__s")), "units")
+    pick = lambda r: F.floor(hash_unit(F.lit(f"b{seed}"), r, F.col("__i")) * F.col("__n")).cast("long")
+    # few rows, but much work each: spread over all cores
+    spread = u.repartition(max(1, u.sparkSession.sparkContext.defaultParallelism), "__s", "__i")
+    slots = spread.select("__s", F.transform(F.sequence(F.lit(1), F.lit(n_boot)), pick).alias("picks"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLOTS):
+                piece = batch.slice(at, _SLOTS)
+                draws = piece.column(1).flatten().to_numpy().reshape(piece.num_rows, n_boot)
+                names = np.array(piece.column(0).to_pylist(), object)
+                for s in dict.fromkeys(names):
+                    mine = draws[names == s]
+                    cell = (np.arange(n_boot) * _UNITS + mine % _UNITS).astype("<i4").ravel()
+                    block = (mine // _UNITS).ravel()
+                    order = np.argsort(block, kind="stable")
+                    blocks, first = np.unique(block[order], return_index=True)
+                    parts = [x.tobytes() for x in np.split(cell[order], first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(blocks)), pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["__s", "__u", "cells"])
+
+    def count(key: tuple, cells: pa.Table) -> pa.Table:
+        s, block = (k.as_py() for k in key)
+        total = np.zeros(n_boot * _UNITS, np.int64)
+        for part in cells.column("cells").to_pylist():
+            total += np.bincount(np.frombuffer(part, "<i4"), minlength=len(total))
+        times = total.reshape(n_boot, _UNITS).T.astype("<i4")
+        drawn = np.flatnonzero(times.any(axis=1))
+        return pa.table({"__s": pa.array([s] * len(drawn), pa.string()), "__i": pa.array(drawn + block * _UNITS + 1, pa.int64()), "times": pa.array([times[i].tobytes() for i in drawn], pa.binary())})
+
+    cells = slots.mapInArrow(route, "__s string, __u long, cells binary")
+    times = cells.groupBy("__s", "__u").applyInArrow(count, "__s string, __i long, times binary")
+    return stored(u.join(times, ["__s", "__i"]).select(*strata, unit, "times"), "draws")
+
+
 def fraction_draws(df: DataFrame, unit: str, fractions: Sequence[float], draws: int, seed: int = 0) -> DataFrame:
     """Learning-curve subsamples: units kept per (fraction, draw) by hash threshold."""
     u = df.select(unit).distinct()

@@ -49,9 +49,10 @@ def value_slices(df: DataFrame, keys: list[str], value: str, rows: int = 65_536,
     step = F.greatest(F.lit(1), F.floor(F.lit(most * rows) / F.col("n")).cast("int"))
     edges = edges.select("__key", step.alias("__step"), "e").select(
         "__key", F.coalesce(F.array_distinct(F.filter("e", lambda x, i: (i + 1) % F.col("__step") == 0)), F.array().cast("array<double>")).alias("__edges"))
-    # how many edges lie below the value, by halving
-    halves = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
-    below = F.aggregate(halves, F.lit(0), lambda at, k: F.when((at + k <= F.size("__edges")) & F.coalesce(F.get("__edges", at + k - 1) < v, F.lit(False)), at + k).otherwise(at))
+    # how many edges lie below the value, by halving: only as many steps as the group's edges need
+    powers = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    edges = edges.withColumn("__steps", F.filter(powers, lambda k: k <= F.size("__edges")))
+    below = F.aggregate("__steps", F.lit(0), lambda at, k: F.when(F.coalesce(F.get("__edges", at + k - 1) < v, F.lit(False)), at + k).otherwise(at))
     found = F.when(F.size("__edges") > 0, below).otherwise(F.lit(0)).alias(SLICE)
     return df.withColumn("__key", key).join(edges, "__key").select(*df.columns, found)
 
