@@ -144,3 +144,45 @@ def test_scaling_constant_column(spark):
 
 def test_log_is_finite():
     assert math.isfinite(math.log(2.2250738585072014e-308))
+
+
+def _scores(spark, n=400, units=30, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [(int(u), int(y), float(round(s, 2)), "ab"[int(u) % 2]) for u, y, s in zip(rng.integers(0, units, n), rng.random(n) < 0.4, rng.random(n))]
+    return rows + [(99, 1, 0.5, None)], "u long, y int, s double, g string"
+
+
+def test_bootstrap_arrays_are_the_counts(spark):
+    d = spark.createDataFrame(*_scores(spark))
+    rows = S.bootstrap_counts(d, "u", ["g"], 40, 7).collect()
+    want = {(r["g"], r["u"], r["replicate"]): r["times"] for r in rows}
+    got = {}
+    for r in S.bootstrap_arrays(d, "u", ["g"], 40, 7).collect():
+        got |= {(r["g"], r["u"], i + 1): int(k) for i, k in enumerate(np.frombuffer(r["times"], "<i4")) if k}
+    assert {k: v for k, v in got.items() if k[0] is not None} == want
+    # a NULL stratum is one like any other: its only unit is drawn every time
+    assert [got[None, 99, r] for r in range(1, 41)] == [1] * 40
+    sizes = {g: len({u for u, _, _, h in _scores(spark)[0] if h == g}) for g in "ab"}
+    for g in "ab":
+        assert all(sum(v for (h, _, r), v in got.items() if h == g and r == k) == sizes[g] for k in range(1, 41))
+
+
+@pytest.mark.parametrize("rows", [65_536, 25])
+def test_boot_metric_equals_repeated_rows(spark, rows, monkeypatch):
+    """Every replicate against plain counting over the drawn rows, in one slice and in many."""
+    sliced = S.value_slices
+    monkeypatch.setattr(M, "value_slices", lambda df, keys, value: sliced(df, keys, value, rows=rows, most=64))
+    data, schema = _scores(spark)
+    d = spark.createDataFrame(data, schema).filter("g is not null")
+    times = {}
+    for r in S.bootstrap_counts(d, "u", ["g"], 12, 3).collect():
+        times[r["g"], r["u"], r["replicate"]] = r["times"]
+    for r in M.boot_metric(d, ["g"], "u", 12, 3, "y", "s", precision=True).collect():
+        drawn = [(s, y, w) for u, y, s, g in data if g == r["g"] and (w := times.get((g, u, r["replicate"])))]
+        pos, neg = [(s, w) for s, y, w in drawn if y], [(s, w) for s, y, w in drawn if not y]
+        p, n = sum(w for _, w in pos), sum(w for _, w in neg)
+        auc = sum(w * v * ((a > b) + 0.5 * (a == b)) for a, w in pos for b, v in neg) / (p * n)
+        ap = sum(w * sum(x for b, x in pos if b >= a) / sum(x for b, _, x in drawn if b >= a) for a, w in pos) / p
+        brier = sum(w * (s - y) ** 2 for s, y, w in drawn) / (p + n)
+        assert (r["n_rows"], r["n_positives"]) == (p + n, p)
+        assert r["auroc"] == pytest.approx(auc) and r["auprc"] == pytest.approx(ap) and r["brier"] == pytest.approx(brier)

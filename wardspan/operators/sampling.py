@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspan.functions.compat import col, hash_unit
-from wardspan.operators.scan import prefix_scan, row_numbers, weighted_ranks
+from wardspan.operators.scan import SLICE, prefix_scan, row_numbers, value_slices, weighted_ranks
 from wardspan.session import stored
 
 
@@ -168,6 +169,33 @@ def bootstrap_arrays(units: DataFrame, unit: str, strata: list[str], n_boot: int
     return stored(u.join(times, ["__s", "__i"]).select(*strata, unit, "times"), "draws")
 
 
+def drawn_weights(df: DataFrame, by: list[str], unit: str, value: str, n_boot: int, seed: int) -> DataFrame:
+    """How often each value stands in each replicate of a bootstrap over whole units: by, replicate, value, weight.
+
+    Units' draw counts go to the slices of the value axis as arrays; a slice adds them up per distinct value, and only those
+    sums become rows.
+    """
+    per = df.groupBy(*by, F.col(unit).cast("string").alias("__unit"), value).agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    per = stored(value_slices(per, by, value), "valued-units")
+    key, kinds = [*by, SLICE], dict(per.dtypes)
+    times = bootstrap_arrays(df, unit, by, n_boot, seed).select(*by, F.col(unit).cast("string").alias("__unit"), "times")
+    draws = per.select(*key, "__unit").distinct().join(times, [*by, "__unit"])
+
+    def fold(name: tuple, rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        place = {k: i for i, k in enumerate(drawn["__unit"])}
+        table = np.vstack([np.frombuffer(x, "<i4") for x in drawn["times"]]) if len(drawn) else np.zeros((0, n_boot))
+        out = []
+        for v, part in rows[rows["__unit"].isin(place)].groupby(value):
+            w = part["__c"].to_numpy() @ table[part["__unit"].map(place).to_numpy(int)]
+            out.append((*name[:-1], v, w.tolist()))
+        return pd.DataFrame(out, columns=[*by, value, "w"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*by, value)) + ", w array<double>"
+    sums = per.toDF(*per.columns).groupBy(*key).cogroup(draws.groupBy(*key)).applyInPandas(fold, schema)
+    rows = sums.select(*by, value, F.posexplode("w").alias("replicate", "weight")).where("weight > 0")
+    return rows.select(*by, (F.col("replicate") + 1).alias("replicate"), value, F.col("weight").cast("long").alias("weight"))
+
+
 def fraction_draws(df: DataFrame, unit: str, fractions: Sequence[float], draws: int, seed: int = 0) -> DataFrame:
     """Learning-curve subsamples: units kept per (fraction, draw) by hash threshold."""
     u = df.select(unit).distinct()

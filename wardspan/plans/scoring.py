@@ -10,7 +10,7 @@ from wardspan.functions.compat import epoch_us
 from wardspan.functions.scoring import GCS_DROP_LOOKBACK, GCS_DROP_POINTS, WARD_HIGH, WARD_MEDIUM, early_warning, escalates, tier
 from wardspan.operators.joins import overlap_flag, with_fallback
 from wardspan.operators.pivot import hourly_grid, unify_vitals
-from wardspan.operators.sampling import bootstrap_counts
+from wardspan.operators.sampling import drawn_weights
 from wardspan.operators.scan import exact_percentiles
 from wardspan.operators.windows import ffill_flagged, trailing_drop
 from wardspan.plans.concepts import Catalog
@@ -66,12 +66,8 @@ def group_cut_points(
     """Cut-points per group with a bootstrap over whole units, and whether the group may use them."""
     base = cut_points(df, [group], score)
     n = df.groupBy(group).agg(F.countDistinct(unit).alias("stays"), F.count(F.lit(1)).alias("patient_hours"))
-    times = bootstrap_counts(df, unit, [group], n_boot, seed)
-    per = df.groupBy(group, unit, score).agg(F.count(F.lit(1)).alias("__c")).join(times, [group, unit])
-    per = stored(per.groupBy(group, "replicate", score).agg(F.sum(F.col("__c") * F.col("times")).alias("__c")), "drawn-scores")
-    p = exact_percentiles(
-        per, [group, "replicate"], score, {"__m": P_MEDIUM, "__h": P_HIGH}, F.col("__c")
-    )
+    per = stored(drawn_weights(df.where(F.col(score).isNotNull()), [group], unit, score, n_boot, seed), "drawn-scores")
+    p = exact_percentiles(per, [group, "replicate"], score, {"__m": P_MEDIUM, "__h": P_HIGH}, F.col("weight"))
     high = F.greatest(F.floor("__h"), F.floor("__m") + 1).cast("double")
     ci = exact_percentiles(p.withColumn("__x", high), [group], "__x", {"high_ci_lo": 0.025, "high_ci_hi": 0.975})
     out = base.join(n, group).join(ci, group, "left")

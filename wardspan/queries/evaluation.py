@@ -124,9 +124,8 @@ def _(t):
 )
 def _(t):
     x = score_rows(t).select("user_id", (F.col("user_id") % 4).alias("grp"), F.floor(F.col("score") * 200).alias("s"))
-    times = S.bootstrap_counts(x, "user_id", ["grp"], 500, 2)
-    per = x.groupBy("grp", "user_id", "s").agg(F.count(F.lit(1)).alias("c")).join(times, ["grp", "user_id"])
-    q = exact_percentiles(per, ["grp", "replicate"], "s", {"q90": 0.9}, F.col("c") * F.col("times"))
+    per = S.drawn_weights(x, ["grp"], "user_id", "s", 500, 2)
+    q = exact_percentiles(per, ["grp", "replicate"], "s", {"q90": 0.9}, F.col("weight"))
     ci = exact_percentiles(q, ["grp"], "q90", {"high_lo": 0.025, "high_hi": 0.975})
     return ci.select("grp", r("high_lo"), r("high_hi"))
 
