@@ -2,13 +2,14 @@
 
 1. Equal sets are one class. 2. Grouping: sets of at most S tokens together that link differ in at most D tokens, so if
 the tokens are dealt by hash into D + 1 parts, one part is the same in both (a few parts more allow to leave out parts that hold
-no token; shingles that are common in a sample are left aside). Classes that share a part form a bucket; its
-smallest member is the leader, and all classes that share some bucket with a leader are the leader's group. Any two
-classes that link are together in a group. 3. Each group keeps its token union as the leader's tokens plus every member's
-difference from them: rows (group, token, members). A class whose tokens are found in other members too rarely cannot link
-inside the group (the overlap bound), so the group is not opened for it. 4. Members that link with the leader are connected
-through it; no pairs among them are formed. For the others, opened groups are searched by the rarest difference tokens
-(prefix filter), only between classes that are not yet connected, and every candidate is verified on the full sets.
+no token; shingles that are common in a sample are left aside). With some more parts than that, linked sets have a known
+number of parts in common, and classes that share fewer are left out. Classes that share a part form a bucket; its smallest
+member is the leader, and all classes that share some bucket with a leader are the leader's group. Any two classes that link
+are together in a group. 3. Each group keeps its token union as the leader's tokens plus every member's difference from them:
+rows (group, token, members). A class whose tokens are found in other members too rarely cannot link inside the group (the
+overlap bound), so the group is not opened for it. 4. Members that link with the leader are connected through it; no pairs
+among them are formed. For the others, opened groups are searched by the rarest difference tokens (prefix filter), only
+between classes that are not yet connected, and every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from wardspan.llm.shingle_sets import fingerprint, mix, shingles
 _BROADCAST_ROWS = 1_500_000
 #: Largest to smallest size of a size class; at least 100 / percent, so that linked sets are at most one class apart.
 _RATIO = 1.5
+#: Parts beyond those that can differ, as a share of them: linked sets have so many equal parts at least.
+_EXTRA = 0.25
 _SIG = np.uint64((1 << 48) - 1)
 
 
@@ -58,19 +61,25 @@ class Space:
     ``spare + 1`` are the same in two linked sets, so a set may leave out up to ``spare`` parts: its empty ones."""
 
     number: int
+    high: int
     parts: int
     spare: int
 
+    def need(self, n: int, empty: int, percent: int) -> int:
+        """Fewest signatures that a set of n tokens with so many empty parts has in common with a set it links with."""
+        return max(1, self.parts - most_apart(n + min(self.high, n * 100 // percent), percent) - empty)
+
 
 @functools.cache
 def _space(number: int, low: int, high: int, percent: int) -> Space:
     differ = most_apart(2 * high, percent)
     spare = 0
     least = max(1, low * percent // 100)  # the smallest sets that come in from the class below
+    base = differ + 1 + math.ceil(_EXTRA * differ)
     for _ in range(12):  # their expected number of empty parts and three standard deviations
-        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        empty = (base + spare) * math.exp(-least / (base + spare))
         spare = min(math.ceil(empty + 3 * math.sqrt(empty)), differ + 1)
-    return Space(number, differ + 1 + spare, spare)
+    return Space(number, high, base + spare, spare)
 
 
 def spaces(n: int, percent: int) -> list[Space]:
@@ -96,15 +105,16 @@ def without(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return tokens[hot[at] != tokens]
 
 
-def signatures(tokens: np.ndarray, percent: int, hot: np.ndarray | None = None) -> np.ndarray:
-    """48-bit signatures of a set's parts in every space: equal parts have equal signatures.
+def signatures(tokens: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a set's parts in every space, 48 bits and one for odd spaces, and how many of the even and of the
+    odd space it must have in common with a set that it links with: equal parts have equal signatures.
 
     Empty parts would put unlike sets together. They are left out if there are no more of them than can be spared;
     otherwise they count as well. Two linked sets always keep a common signature: if one of them leaves out its empty
     parts, an equal part that is not empty remains, which both have. Tokens in ``hot`` are left aside: without them two
     sets differ in no more tokens than with them.
     """
-    out, n = [], len(tokens)
+    out, n, need = [], len(tokens), [0, 0]
     if hot is not None:
         tokens = without(tokens, hot)
     with np.errstate(over="ignore"):
@@ -117,8 +127,11 @@ def signatures(tokens: np.ndarray, percent: int, hot: np.ndarray | None = None)
             if len(first):
                 sums[part[first]] = np.add.reduceat(spread, first)
             sigs = mix(sums + mix(np.arange(s.parts, dtype=np.uint64) + np.uint64(s.number << 32)))
-            out.append(sigs if s.parts - len(first) > s.spare else sigs[part[first]])
-    return (np.concatenate(out) & _SIG).view(np.int64)
+            empty = s.parts - len(first)
+            listed = sigs if empty > s.spare else sigs[part[first]]
+            out.append((listed & _SIG) << np.uint64(1) | np.uint64(s.number & 1))
+            need[s.number & 1] = s.need(n, empty, percent)
+    return np.concatenate(out).view(np.int64), need
 
 
 def _over_rows(fn, out_names: list[str], out_types: list[pa.DataType]):
@@ -156,16 +169,18 @@ def common_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """Stored rows (doc_id, th, n, cls, sigs) of all documents: text hash, set size and fingerprint, signatures of its parts."""
+    """Stored rows (doc_id, th, n, cls, sigs, need) of all documents: text hash, set size and fingerprint, signatures of its parts."""
     hot = common_shingles(docs, s)
 
     def one(doc_id, th, text):
         t = shingles(text, s.shingle)
-        return doc_id, th, len(t), fingerprint(t), signatures(t, s.percent, hot).tolist() if len(t) else []
+        sigs, need = signatures(t, s.percent, hot) if len(t) else (t, [0, 0])
+        return doc_id, th, len(t), fingerprint(t), sigs.tolist(), need
 
-    run = _over_rows(one, ["doc_id", "th", "n", "cls", "sigs"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+    names = ["doc_id", "th", "n", "cls", "sigs", "need"]
+    run = _over_rows(one, names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text")
-    return stored(rows.mapInArrow(run, "doc_id long, th long, n long, cls long, sigs array<long>"), "sets")
+    return stored(rows.mapInArrow(run, "doc_id long, th long, n long, cls long, sigs array<long>, need array<int>"), "sets")
 
 
 def _looked_up(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -176,13 +191,19 @@ def _looked_up(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataF
 def membership(sets: DataFrame) -> DataFrame:
     """Stored (cls, leader): distinct memberships in groups of two classes or more; leaders are members of their groups.
 
-    One shuffle: inside each signature's rows, sorted by class, the first class leads. Rows without id are linked with nothing,
-    so they take no part: as leaders they would have no stored set.
+    A signature that only one class has is no link. A class that shares fewer of its signatures, with whatever classes, than
+    two linked sets have in common cannot link with any: it is left out before groups are made. The first class of a signature
+    leads. Rows without id are linked with nothing, so they take no part: as leaders they would have no stored set.
     """
-    parts = sets.where("n > 0 and doc_id is not null").select("cls", F.explode("sigs").alias("sig"))
-    first = F.first("cls").over(W.partitionBy("sig").orderBy("cls"))
-    led = parts.select("cls", first.alias("leader")).where("cls <> leader").distinct()
-    led = stored(led, "led")
+    parts = sets.where("n > 0 and doc_id is not null").select("cls", "need", F.explode("sigs").alias("sig"))
+    side = F.col("sig").bitwiseAND(F.lit(1))
+    w = W.partitionBy("sig")
+    shared = parts.select("cls", F.get("need", side.cast("int")).alias("need"), "sig", F.min("cls").over(w).alias("lo"), F.max("cls").over(w).alias("hi"))
+    shared = stored(shared.where("lo <> hi").select("cls", side.alias("side"), "need", "sig"), "shared")
+    strong = shared.groupBy("cls", "side", "need").agg(F.count("*").alias("n")).where("n >= need").select("cls", "side")
+    first = shared.join(strong, ["cls", "side"], "left_semi").select("cls", F.min("cls").over(w).alias("leader"))
+    led = stored(first.where("cls <> leader").distinct(), "led")
+    discard(shared)
     return stored(led.union(led.select("leader", "leader").distinct()), "groups")
 
 
@@ -276,7 +297,7 @@ def components_of(docs: DataFrame, s: Settings) -> DataFrame:
     signed = set_table(docs, s)
     groups = membership(signed)
     # the signatures, far longer than all other columns, are not needed any more
-    sets = stored(signed.drop("sigs"), "classes")
+    sets = stored(signed.drop("sigs", "need"), "classes")
     discard(signed)
     tokens = class_tokens(docs, sets, groups.select("cls").distinct(), s)
     diffs = differences(groups, tokens, s)
