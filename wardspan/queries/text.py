@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardspan.functions import retrieval as RT
 from wardspan.functions import text as X
 from wardspan.plans import facts as FA
 from wardspan.plans import resources as RS
@@ -87,7 +88,7 @@ _BENCH_Q = "select item_id as query_id, text as query_text from benchmark"
 @query("tfidf_topk", f"with {_tfidf_sql('select doc_id, text from documents', _BENCH_Q, 5)} select query_id, doc_id, rank::integer as rank, round(score, 6) as score from top")
 def _(t):
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    out = X.tfidf_topk(t("documents").select("doc_id", "text"), q, 5, stop_words=_STOP)
+    out = RT.tfidf_topk(t("documents").select("doc_id", "text"), q, 5, stop_words=_STOP)
     return out.select("query_id", "doc_id", "rank", r("score"))
 
 
@@ -100,7 +101,17 @@ def _(t):
     q = t("benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), F.concat(F.lit("src"), (F.col("item_id") % 4).cast("string")).alias("scope")
     )
-    out = X.tfidf_topk(t("documents").select("doc_id", "text", scope), q, 3, scope="scope", stop_words=_STOP)
+    out = RT.tfidf_topk(t("documents").select("doc_id", "text", scope), q, 3, scope="scope", stop_words=_STOP)
+    return out.select("query_id", "doc_id", r("score"))
+
+
+@query(
+    "tfidf_sources",
+    f"with {_tfidf_sql('select doc_id, text from documents', _BENCH_Q, 100000).replace('top as', 'all_hits as')}, sc as (select a.* exclude (rank) from all_hits a join documents d using (doc_id) where d.source in ('src1', 'src3', 'src5')) select query_id, doc_id, round(score, 6) as score from sc qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 4",
+)
+def _(t):
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    out = RT.tfidf_topk(t("documents").select("doc_id", "text", "source"), q, 4, stop_words=_STOP, source="source", sources=["src1", "src3", "src5"])
     return out.select("query_id", "doc_id", r("score"))
 
 
@@ -111,7 +122,7 @@ def _(t):
 def _(t):
     b = t("benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    hits = X.tfidf_topk(b.select(F.col("item_id").alias("doc_id"), "text"), q, 3, stop_words=_STOP)
+    hits = RT.tfidf_topk(b.select(F.col("item_id").alias("doc_id"), "text"), q, 3, stop_words=_STOP)
     truth = b.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"))
     return X.recall_at_k(hits, truth, "query_id", "doc_id").select(r("recall"), "n")
 
