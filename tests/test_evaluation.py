@@ -1,5 +1,6 @@
 """Metrics, resampling, neighbours and text helpers against brute force."""
 
+import json
 import math
 import re
 
@@ -130,6 +131,38 @@ def test_number_grounding_on_whole_texts(spark):
         assert r["g"]["n_grounded"] == sum(any(abs(n - s) <= 0.5 for s in src) for n in want)
 
 
+def walk(v):
+    if isinstance(v, bool) or v is None:
+        return []
+    if isinstance(v, (int, float)):
+        return [float(v)]
+    if isinstance(v, str):
+        return [float(x) for x in NUMBER.findall(v)]
+    return [x for item in (v.values() if isinstance(v, dict) else v) for x in walk(item)]
+
+
+def test_grounding_in_nested_facts(spark):
+    facts = [
+        json.dumps({"a": [1, {"b": [[2.5, True], "x 7 of -12a"]}], "c": None, "d": {"e": {"f": 1e3}}}),
+        "[]", '"only 5"', "no json {", None, json.dumps([[i] for i in range(300)]), json.dumps({"big": 123456789012345678901, "neg": -0.25}),
+    ]
+    texts = ["1 2.9 3.1 -1 8 1000.5 1000.51", "4", "5.5 5.5 5.6", "1", "2", "299.4 300.6 150 none", None]
+    d = spark.createDataFrame(list(zip(range(7), facts, texts)), "i int, j string, t string")
+    nums = X.json_numbers(d, "i", "j")
+    got = {}
+    for r in nums.collect():
+        got.setdefault(r.i, []).append(r.number)
+    for i, f in enumerate(facts):
+        want = [] if f is None or i == 3 else walk(json.loads(f))
+        assert sorted(got.get(i, [])) == pytest.approx(sorted(want)), i
+    for r in X.ground_against(d, nums, "i", "t").collect():
+        stated = [float(x) for x in NUMBER.findall(texts[r.i] or "")]
+        near = sum(any(abs(n - s) <= 0.5 for s in got.get(r.i, [])) for n in stated)
+        assert (r.n_numbers, r.n_grounded) == (len(stated), near), r
+        assert r.grounded_rate == (near / len(stated) if stated else 1.0)
+    assert X.json_numbers(d.limit(0), "i", "j").count() == 0
+
+
 def test_sentences_and_citations(spark):
     body = "[F001] Stable. [F002, F003] Worse today.\n- bullet line\n\nEnd. ok"
     led = X.ledger(spark.createDataFrame([(1, body)], "n int, b string"), "n", "b").orderBy("sentence_idx").collect()
