@@ -186,14 +186,17 @@ def path_string(
     name: str = "path",
     sep: str = " -> ",
     width_s: int = DAY,
+    repeats: bool = False,
 ) -> DataFrame:
-    """Ordered values with consecutive repeats removed, joined to one string per key.
+    """Ordered values, without consecutive repeats unless ``repeats``, joined to one string per key.
 
     Strings are first joined inside time slices, then across slices.
     """
     b = time_bucket(ts, width_s)
-    moves = prefix_scan(df, keys, [ts], b, {"__pv": ("prev", value)})
-    moves = moves.filter(F.col("__pv").isNull() | (F.col("__pv") != F.col(value)))
+    moves = df
+    if not repeats:
+        moves = prefix_scan(df, keys, [ts], b, {"__pv": ("prev", value)})
+        moves = moves.filter(F.col("__pv").isNull() | (F.col("__pv") != F.col(value)))
 
     def joined(frame: DataFrame, by: list[str], at: str, text: str) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(text).alias("t"))))

@@ -170,13 +170,13 @@ def _(t):
     n as (select hadm_id, drug, row_number() over (partition by hadm_id order by count(*) desc, drug) as rn from prescriptions group by 1, 2 qualify rn <= 20),
     md as (select hadm_id, drug, route from prescriptions group by 1, 2, 3 qualify row_number() over (partition by hadm_id, drug order by count(*) desc, route) = 1),
     mi as (select *, row_number() over (partition by hadm_id order by chartdate, micro_specimen_id, org_name) as rn from microbiologyevents where org_name is not null qualify rn <= 10),
-    s0 as (select hadm_id, transfertime as ts, min(curr_service) as s from services group by 1, 2), sv as (select *, lag(s) over (partition by hadm_id order by ts) as p from s0),
+    sv as (select hadm_id, transfertime as ts, min(curr_service) as s from services group by 1, 2),
     f as (select hadm_id, 1 as family, '1' as k, 'Admitted as ' || lower(admission_type) || ' via clinic referral.' as text from admissions
       union all select hadm_id, 1, '2', 'Length of hospital stay: ' || date_diff('day', admittime, dischtime) || ' day(s).' from admissions
       union all select hadm_id, 1, '3', case when hospital_expire_flag = 1 then 'Patient died during this hospitalization.' else 'Discharged alive to: home.' end from admissions
       union all select hadm_id, 4, printf('%03d', rn), 'Medication administered (' || lower(route) || '): ' || drug || '.' from n join md using (hadm_id, drug)
-      union all select hadm_id, 5, printf('%03d', rn), org_name || ' isolated from ' || lower(spec_type_desc) || '.' from mi
-      union all select hadm_id, 7, '1', 'Clinical service assignment over the stay: ' || string_agg(s, ' -> ' order by ts) || '.' from sv where p is null or p <> s group by hadm_id
+      union all select hadm_id, 5, printf('%03d', rn), org_name || ' isolated from ' || lower(spec_type_desc) || ' on ' || chartdate::varchar || '.' || case when micro_specimen_id % 3 = 0 and micro_specimen_id % 7 <> 0 then ' Sensitivity to VANCOMYCIN: S.' else '' end from mi
+      union all select hadm_id, 7, '1', 'Clinical service assignment over the stay: ' || string_agg(s, ' -> ' order by ts) || '.' from sv group by hadm_id
       union all select hadm_id, 10, '0', 'Peak sofa score: ' || max(sofa_24hours) || '.' from sofa join icustays using (stay_id) group by hadm_id)
     select hadm_id, family, text, 'F' || printf('%03d', row_number() over (partition by hadm_id order by family, k)) as fact_id from f""",
 )
@@ -185,14 +185,58 @@ def _(t):
     adm = c("admissions").withColumns({"edregtime": F.lit(None).cast("timestamp_ntz"), "admission_location": F.lit("CLINIC REFERRAL")})
     services = c("services").groupBy("hadm_id", "transfertime").agg(F.min("curr_service").alias("curr_service"))
     sofa = c("sofa").join(c("icustays").select("stay_id", "hadm_id"), "stay_id").select("hadm_id", F.col("sofa_24hours").alias("value"))
+    spec = F.col("micro_specimen_id")
+    cultures = c("microbiologyevents").withColumns(
+        {"ab_name": F.when(spec % 3 == 0, "VANCOMYCIN"), "interpretation": F.when(spec % 7 != 0, "S")}
+    )
     parts = [
-        *FA.admission_facts(adm), FA.medication_facts(c("prescriptions")), FA.culture_facts(c("microbiologyevents")),
-        FA.path_facts(services, 7, "transfertime", "curr_service", "services", "Clinical service assignment over the stay: "),
+        *FA.admission_facts(adm), FA.medication_facts(c("prescriptions")), FA.culture_facts(cultures),
+        FA.path_facts(services, 7, "transfertime", "curr_service", "services", "Clinical service assignment over the stay: ", repeats=True),
         *FA.score_facts({"sofa": sofa}),
     ]
     return FA.number_facts(parts).select("hadm_id", "family", "text", "fact_id")
 
 
+@query(
+    "facts_of_other_families",
+    """with one as (select l_orderkey as hadm_id, l_linenumber as seq_num, min(l_partkey) as part, min(l_shipdate)::date as chartdate from lineitem group by 1, 2),
+    t as (select hadm_id, seq_num, chartdate, p_name as title from one join part on p_partkey = part),
+    lab as (select user_id as hadm_id, event_type as label, date_trunc('second', ts) as ts, event_id, case when event_id % 11 = 0 then '___' when event_id % 13 = 0 then null else (event_id % 500)::varchar end as v,
+        case when event_id % 2 = 0 then 'mg/dL' end as unit, case when event_id % 3 = 0 then 10 end as lo from events where value > 40
+        qualify row_number() over (partition by user_id, event_type order by date_trunc('second', ts) desc, event_id desc) = 1),
+    lr as (select *, row_number() over (partition by hadm_id order by ts desc, event_id desc) as rn from lab qualify rn <= 15),
+    mv as (select user_id as hadm_id, ts, event_type as s, lag(event_type) over (partition by user_id order by ts) as p from events where value > 60),
+    ord as (select user_id as hadm_id, event_id, date_trunc('second', ts) as ts, case when event_id % 2 = 0 then 'CT Scan' end as sub, row_number() over (partition by user_id order by date_trunc('second', ts), event_id) as rn from events where event_type = 'purchase' qualify rn <= 10),
+    f as (select hadm_id, 2 as family, printf('%05d', seq_num) as k, 'Diagnosis (' || case when seq_num = 1 then 'principal diagnosis' else 'diagnosis #' || seq_num end || '): ' || title || '.' as text from t
+      union all select hadm_id, 3, printf('%05d', seq_num), 'Procedure performed on ' || chartdate::varchar || ': ' || title || '.' from t where seq_num % 2 = 1
+      union all select hadm_id, 6, printf('%03d', rn), replace('Abnormal lab, most recent: ' || label || ' = ' || v || ' ' || coalesce(unit, '') || case when lo is null then '' else ' (reference 10-90)' end || ', on ' || ts::varchar || '.', '  ', ' ') from lr where v is not null and not contains(v, '_')
+      union all select hadm_id, 8, '1', 'Care unit path: ' || string_agg(s, ' -> ' order by ts) || '.' from mv where p is null or p <> s group by hadm_id
+      union all select hadm_id, 9, printf('%03d', rn), 'Radiology order placed on ' || ts::varchar || ': ' || coalesce(sub, 'imaging study') || '.' from ord)
+    select hadm_id, family, text, 'F' || printf('%03d', row_number() over (partition by hadm_id order by family, k)) as fact_id from f""",
+)
+def _(t):
+    one = t("lineitem").groupBy(F.col("l_orderkey").alias("hadm_id"), F.col("l_linenumber").alias("seq_num")).agg(
+        F.min("l_partkey").alias("icd_code"), F.min("l_shipdate").cast("date").alias("chartdate")
+    ).withColumn("icd_version", F.lit(10))
+    titles = t("part").select(F.col("p_partkey").alias("icd_code"), F.lit(10).alias("icd_version"), F.col("p_name").alias("long_title"))
+    e = t("events").withColumnRenamed("user_id", "hadm_id").withColumn("at", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    n = F.col("event_id")
+    labs = e.filter("value > 40").select(
+        "hadm_id", F.col("event_type").alias("itemid"), n.alias("labevent_id"), F.col("at").alias("charttime"), F.lit("abnormal").alias("flag"),
+        F.when(n % 11 == 0, "___").when(n % 13 == 0, None).otherwise((n % 500).cast("string")).alias("value"),
+        F.when(n % 2 == 0, "mg/dL").alias("valueuom"), F.when(n % 3 == 0, 10).alias("ref_range_lower"), F.lit(90).alias("ref_range_upper"),
+    )
+    names = e.select(F.col("event_type").alias("itemid"), F.col("event_type").alias("label")).distinct()
+    orders = e.filter("event_type = 'purchase'").select(
+        "hadm_id", n.alias("poe_id"), F.col("at").alias("ordertime"), F.lit("Radiology").alias("order_type"), F.when(n % 2 == 0, "CT Scan").alias("order_subtype")
+    )
+    parts = [
+        FA.diagnosis_facts(one, titles), FA.procedure_facts(one.filter("seq_num % 2 = 1"), titles), FA.lab_facts(labs, names),
+        FA.path_facts(e.filter("value > 60"), 8, "ts", "event_type", "transfers", "Care unit path: "), FA.order_facts(orders),
+    ]
+    return FA.number_facts(parts).select("hadm_id", "family", "text", "fact_id")
+
+
 @query(
     "nested_json_export",
     """select o_orderkey, 'Encounter' as kind, o_orderkey::varchar as id, case when o_orderstatus = 'F' then 'finished' else 'in-progress' end as status,
