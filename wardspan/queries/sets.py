@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardspan.operators import quality as Q
@@ -374,6 +375,75 @@ def _(t):
     return Q.verify_hash_chain(e, ["user_id"], "seq", ["id_text", "event_type", "props"], linked=False)
 
 
+_FLAGS = {"returned": "l_returnflag = 'R'", "max_qty": "l_quantity > 49", "huge": "l_extendedprice > 10400000", "never": "l_tax < 0"}
+
+
+@query(
+    "hash_chain_linked",
+    """with r as (select user_id, event_id, event_type, event_id::varchar as id_text, row_number() over (partition by user_id order by event_id) - 1 as i from events),
+    f as (select *, i // 3 as chain, i % 3 as seq, concat_ws('|', id_text, event_type) as own from r),
+    l as (select *, lag(own) over w as own1, lag(own, 2) over w as own2 from f window w as (partition by user_id, chain order by seq)),
+    h as (select *, sha256(own1 || '|' || case when seq = 2 then sha256(own2 || '|' || repeat('0', 64)) else repeat('0', 64) end) as before from l),
+    c as (select user_id, chain, seq, case when seq = 0 then repeat('0', 64) when event_id % 997 = 5 then 'broken' else before end as prev0, case when event_id % 1009 = 7 then 'x' else event_type end as event_type, id_text,
+        sha256(own || '|' || case when seq = 0 then repeat('0', 64) else before end) as own0 from h),
+    v as (select *, coalesce(lag(own0) over (partition by user_id, chain order by seq), repeat('0', 64)) as link from c),
+    b as (select *, prev0 <> link or own0 <> sha256(concat_ws('|', id_text, event_type, link)) as bad from v)
+    select user_id, chain, count(*) as n_rows, min(case when bad then seq end) as first_broken, not bool_or(bad) as intact from b group by 1, 2""",
+)
+def _(t):
+    # chains of three rows, whose hashes cover the hash before; some types and some links are changed afterwards
+    e = t("events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("id_text"))
+    e = row_numbers(e, ["user_id"], ["event_id"], F.floor(F.col("event_id") / 100_000).cast("long"), "__i")
+    i = F.col("__i") - 1
+    e = e.withColumns({"chain": F.floor(i / 3).cast("long"), "seq": i % 3})
+    w = Window.partitionBy("user_id", "chain").orderBy("seq")
+    fields = F.concat_ws("|", "id_text", "event_type")
+    e = e.withColumns({"__own1": F.lag(fields, 1).over(w), "__own2": F.lag(fields, 2).over(w)})
+    first = F.sha2(F.concat_ws("|", "__own2", F.lit(Q.GENESIS)), 256)
+    before = F.sha2(F.concat_ws("|", F.col("__own1"), F.when(F.col("seq") == 2, first).otherwise(Q.GENESIS)), 256)
+    link = F.when(F.col("seq") == 0, Q.GENESIS).otherwise(before)
+    e = e.withColumns({"row_hash": Q.chain_hash(["id_text", "event_type"], link), "prev_hash": link})
+    e = e.withColumn("prev_hash", F.when((F.col("seq") > 0) & (F.col("event_id") % 997 == 5), "broken").otherwise(F.col("prev_hash")))
+    e = e.withColumn("event_type", F.when(F.col("event_id") % 1009 == 7, "x").otherwise(F.col("event_type")))
+    return Q.verify_hash_chain(e, ["user_id", "chain"], "seq", ["id_text", "event_type"])
+
+
+@query(
+    "sparse_columns_dropped",
+    _DAILY_NULLS + " select column_name, n_values, total from (" + " union all ".join(
+        f"select '{c}' as column_name, count({c}) as n_values, round(sum({c}), 4) as total, avg(({c} is null)::int) as rate from d" for c in [*TYPES, "huge"]
+    ) + ") where rate <= 0.65",
+)
+def _(t):
+    left = Q.drop_missing(_daily_plus(t), [*TYPES, "huge"], 0.65).drop("user_id", "day")
+    long = left.unpivot([], left.columns, "column_name", "v")
+    return long.groupBy("column_name").agg(F.count("v").alias("n_values"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query(
+    "rare_flags_dropped",
+    "with f as (select " + ", ".join(f"({e})::int as {n}" for n, e in _FLAGS.items()) + " from lineitem) select column_name, n_set from (" + " union all ".join(
+        f"select '{n}' as column_name, sum({n})::bigint as n_set, least(count(*) filter ({n} = 1), count(*) filter ({n} = 0)) as minority from f" for n in _FLAGS
+    ) + ") where minority >= 20",
+)
+def _(t):
+    flags = t("lineitem").select(*[F.expr(f"({e})").cast("int").alias(n) for n, e in _FLAGS.items()])
+    left = Q.drop_rare_flags(flags, list(_FLAGS))
+    return left.unpivot([], left.columns, "column_name", "v").groupBy("column_name").agg(F.sum("v").alias("n_set"))
+
+
+@query(
+    "minmax_inverse",
+    "select l_orderkey, l_linenumber, l_partkey, round(l_quantity, 6) as l_quantity, round(l_discount, 6) as l_discount, 3.0::double as fixed from lineitem",
+)
+def _(t):
+    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", F.lit(3.0).alias("fixed"))
+    cols = ["l_quantity", "l_discount", "fixed"]
+    bounds = Q.minmax_bounds(li, cols)
+    back = Q.minmax_inverse(Q.minmax_scale(li, cols, bounds), cols, bounds)
+    return back.select("l_orderkey", "l_linenumber", "l_partkey", r("l_quantity"), r("l_discount"), "fixed")
+
+
 @query(
     "minmax_scale",
     """with b as (select min(l_quantity) a0, max(l_quantity) a1, min(l_discount) d0, max(l_discount) d1 from lineitem)
