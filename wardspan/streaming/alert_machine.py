@@ -10,6 +10,7 @@ Needs the state store that holds state outside of the JVM's memory, which ``aler
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -37,6 +38,17 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, ROCKSDB)
 
 
+@contextmanager
+def rocksdb_for(spark: SparkSession) -> Iterator[None]:
+    """That state store for the streams started inside, the session's own afterwards."""
+    old = spark.conf.get(PROVIDER)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, old)
+
+
 def _int(v: Any) -> int | None:
     return None if v is None or pd.isna(v) else int(v)
 
