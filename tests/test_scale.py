@@ -1,10 +1,15 @@
 """Plans and pieces that must not depend on a whole table or group fitting in one place."""
 
 import re
+from datetime import datetime as D
 
 import pandas as pd
 
 from wardspan.evaluation import analytics as A
+from wardspan.operators import joins as J
+from wardspan.operators import sampling as S
+from wardspan.queries import icu
+from wardspan.queries.registry import Tables
 
 
 def plan(df):
@@ -21,3 +26,53 @@ def test_lag_copies_are_not_broadcast(spark):
         assert got[lag][1] == 3 and abs(got[lag][0] - want) < 1e-9
     copies = re.search(r"\w+ \[k#\d+, h#\d+L\], \[k#\d+, h#\d+L\]", plan(out))
     assert copies and copies[0].startswith("SortMergeJoin")
+
+
+def test_copies_of_spans_are_not_broadcast(spark):
+    points = spark.createDataFrame([(1, D(2024, 1, 2, 1), 7)], "k int, ts timestamp_ntz, i int")
+    spans = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 1, 3), 8)], "k int, s timestamp_ntz, e timestamp_ntz, j int")
+    other = spans.toDF("k", "s2", "e2", "j2")
+    for df in (
+        J.point_in_interval(points, spans, ["k"], "ts", "s", "e"), J.overlaps(spans, other, ["k"], ("s", "e"), ("s2", "e2")),
+        J.interval_within(spans, other, ["k"], ("s", "e"), ("s2", "e2")),
+    ):
+        assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+        assert df.count() == 1
+
+
+def test_units_of_one_slice_are_added_up_in_blocks(spark, monkeypatch):
+    rows = [("a", u, u % 3) for u in range(60)] + [("b", u, 1) for u in range(3)] + [(None, 1, 1), ("a", None, 2)]
+    df = spark.createDataFrame(rows, "g string, u int, v int")
+    whole = sorted(tuple(r) for r in S.drawn_weights(df, ["g"], "u", "v", 20, 3).collect())
+    sizes = []
+    kept = S.stored
+
+    def seen(d, label):
+        out = kept(d, label)
+        if label == "unit-blocks":
+            sizes.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(S, "_FOLD_UNITS", 8)
+    monkeypatch.setattr(S, "stored", seen)
+    assert sorted(tuple(r) for r in S.drawn_weights(df, ["g"], "u", "v", 20, 3).collect()) == whole
+    assert sizes == [("a", 8)]
+    assert len(whole) == len({r[:3] for r in whole})
+
+
+def test_item_filter_reaches_the_items(spark, tmp_path):
+    spark.sql("select id as c_custkey from range(8)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select id as o_orderkey, id % 8 as o_custkey from range(20)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "select id % 20 as l_orderkey, id as l_partkey, id % 5 as l_suppkey, cast(id % 4 as int) as l_linenumber, cast(id % 50 as double) as l_quantity, "
+        "id * 1.5D as l_extendedprice, 0.05D as l_discount from range(200)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = []
+    raw = icu.spark_raw(Tables(spark, str(tmp_path)), lambda df: kept.append(df) or df)
+    assert len(kept) == 1 and kept[0].count() == 200
+    for name, code in (("chartevents", 226732), ("labevents", 51003)):
+        one = raw[name].filter(f"itemid = {code}")
+        optimized = one._jdf.queryExecution().optimizedPlan().toString()
+        # the items are cut to one code while planning, so no filter on it is left for the rows
+        assert f"= {code})" not in optimized and "LocalRelation" in optimized
+        everything = [tuple(r) for r in raw[name].collect() if r["itemid"] == code]
+        assert everything and sorted(map(str, everything)) == sorted(str(tuple(r)) for r in one.collect())
