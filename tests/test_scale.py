@@ -4,10 +4,15 @@ import re
 from datetime import datetime as D
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from wardspan.evaluation import analytics as A
 from wardspan.operators import joins as J
 from wardspan.operators import sampling as S
+from wardspan.plans import facts as FA
+from wardspan.plans import features as FT
+from wardspan.plans import scoring as SC
+from wardspan.plans.concepts import Catalog
 from wardspan.queries import icu
 from wardspan.queries.registry import Tables
 
@@ -76,3 +81,57 @@ def test_item_filter_reaches_the_items(spark, tmp_path):
         assert f"= {code})" not in optimized and "LocalRelation" in optimized
         everything = [tuple(r) for r in raw[name].collect() if r["itemid"] == code]
         assert everything and sorted(map(str, everything)) == sorted(str(tuple(r)) for r in one.collect())
+
+
+def test_event_values_are_made_without_decimals(spark, tmp_path):
+    spark.sql("select id as c_custkey from range(8)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select id as o_orderkey, id % 8 as o_custkey from range(20)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "select id % 20 as l_orderkey, id as l_partkey, id % 5 as l_suppkey, cast(id % 4 as int) as l_linenumber, cast(id % 50 as double) as l_quantity, "
+        "id * 1.5D as l_extendedprice, 0.05D as l_discount from range(200)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    raw = icu.spark_raw(Tables(spark, str(tmp_path)), lambda df: spark.createDataFrame(df.collect(), df.schema))
+    for name, value in (("chartevents", "valuenum"), ("labevents", "valuenum"), ("inputevents", "amount")):
+        assert "decimal" not in raw[name].select(value)._jdf.queryExecution().optimizedPlan().toString()
+        tenths = [r[0] for r in raw[name].select(value).collect() if r[0] is not None]
+        assert tenths and all(v == round(v, 2) for v in tenths)
+
+
+def test_scored_hours_are_made_once(spark, monkeypatch):
+    labels = []
+    kept = SC.stored
+    monkeypatch.setattr(SC, "stored", lambda df, label: labels.append(label) or kept(df, label))
+    at = D(2024, 1, 1)
+    c = Catalog(spark, {
+        "icustays": spark.createDataFrame([(s, at) for s in range(3)], "stay_id int, intime timestamp_ntz"),
+        "inputevents": spark.createDataFrame([(1, 222168, at, D(2024, 1, 1, 2))], "stay_id int, itemid int, starttime timestamp_ntz, endtime timestamp_ntz"),
+    })
+    rows = [(s, h, 80.0 + 25 * s, 15.0 - 3 * (h == 2)) for s in range(3) for h in range(4)]
+    grid = spark.createDataFrame(rows, "stay_id int, hour int, hr double, gcs_total double")
+    grid = grid.withColumns({x: F.lit(v) for x, v in (("rr", 16.0), ("spo2", 97.0), ("sbp", 120.0), ("map", 80.0), ("temp_c", 37.0), ("fio2", 0.21), ("glucose", 100.0))})
+    g, th = SC.news2(c, grid, spark.createDataFrame([(0, "a"), (1, "a")], "stay_id int, dx_chapter string"))
+    assert labels == ["scored-hours", "thresholds"]
+    assert g.count() == 12 and [r["dx_group"] for r in th.collect()] == [SC.POOLED]
+    # neither result makes the scores again
+    assert "Window" not in plan(g)
+
+
+def test_values_of_one_time_are_counted_before_they_are_copied(spark):
+    at = lambda h: D(2024, 1, 1, h)
+    stays = spark.createDataFrame([(7, 1, at(0)), (7, 2, at(2)), (8, 3, at(0))], "hadm_id int, stay_id int, icu_intime timestamp_ntz")
+    labs = spark.createDataFrame([(7, at(1))] * 5 + [(7, at(3))] * 2 + [(7, None), (None, at(1))], "hadm_id int, charttime timestamp_ntz")
+    grid = spark.createDataFrame([(s, h) for s in (1, 2, 3) for h in range(6)], "stay_id int, hour int")
+    out = FT.add_lab_intensity(grid, labs, stays)
+    got = {(r["stay_id"], r["hour"]): (r["lab_orders_4h"], r["lab_orders_24h"], r["lab_order_rate_ratio"]) for r in out.collect()}
+    assert got[1, 0] == (0, 0, 0.0) and got[1, 1][:2] == (5, 5) and got[1, 5][:2] == (2, 7)
+    assert got[2, 0][:2] == (5, 5) and got[2, 1][:2] == (7, 7) and got[3, 5] == (0, 0, 1.0)
+    assert abs(got[1, 5][2] - (7 / 24) / (8 / 6)) < 1e-12
+    # the counts of the specimens are made below the stacked copies
+    assert re.search(r"HashAggregate\(keys=\[hadm_id#\d+, charttime#\d+\]", plan(out))
+
+
+def test_facts_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "b", "t1"), (1, "a", "t2"), (2, "c", None)], "hadm_id int, k string, text string")
+    made = [FA.family(rows, n, F.col("k"), "t", F.col("k"), "k", F.col("text")) for n in (2, 1)]
+    out = FA.number_facts(made)
+    assert sorted((r["family"], r["text"], r["fact_id"]) for r in out.collect()) == [(1, "t1", "F002"), (1, "t2", "F001"), (2, "t1", "F004"), (2, "t2", "F003")]
+    assert "Union" not in plan(out)
