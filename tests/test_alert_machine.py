@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardspan.streaming import alert_machine as AM
@@ -106,3 +107,25 @@ def test_counters_of_more_than_a_hundred_batches(spark, tmp_path):
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
     drain_to_table(stream, "many", counters={"rows": F.count(F.lit(1)), "total": F.sum("id")})
     assert counters_of("many") == {"rows": 130, "total": 129 * 65}
+
+
+def test_machine_reads_plain_rows():
+    """One key's rows are applied as they come, without a frame per key."""
+    class Held:
+        value = None
+        get = lambda self: self.value
+        exists = lambda self: self.value is not None
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Handle:
+        timers, held = [], Held()
+        getValueState = lambda self, *a: self.held
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    m, h = AM.AlertMachine(4 * 3_600_000_000, 3), Handle()
+    m.init(h)
+    rows = [Row(us=7, kind="raise", severity="low"), Row(us=5, kind="raise", severity="high"), Row(us=6, kind="acknowledge", severity=None)]
+    out = list(m.handleInputRows(("p", "a", 0), iter(rows), None))
+    assert [(r.generation, r.raised_us, r.severity, r.acknowledged_us, r.status, r.version) for r in out] == [
+        (0, 5, "high", 6, "acknowledged", 2), (1, 7, "low", None, "active", 3)]
+    assert h.timers == [4 * 3_600_000] and h.held.value == (1, 7, 7, 1, "low", None, 3)
