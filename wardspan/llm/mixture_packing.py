@@ -84,8 +84,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         chunks = (text.lower() if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         split.append(chunks)
         (latin if plain else other).update(chunks)
-    latin.difference_update(known)
-    other.difference_update(known)
+    # not difference_update, which goes through all that is known
+    latin, other = latin.difference(known), other.difference(known)
 
     def learn(encoder, new: list[str]) -> None:
         """Many words at a time, with a bar between them."""
