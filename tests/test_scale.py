@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardspan.evaluation import analytics as A
 from wardspan.operators import joins as J
 from wardspan.operators import sampling as S
+from wardspan.operators.scan import prefix_scan
 from wardspan.plans import facts as FA
 from wardspan.plans import features as FT
 from wardspan.plans import scoring as SC
@@ -135,3 +136,18 @@ def test_facts_are_made_once(spark):
     out = FA.number_facts(made)
     assert sorted((r["family"], r["text"], r["fact_id"]) for r in out.collect()) == [(1, "t1", "F002"), (1, "t2", "F001"), (2, "t1", "F004"), (2, "t2", "F003")]
     assert "Union" not in plan(out)
+
+
+def test_a_scan_makes_its_input_once(spark):
+    """Both sides of a scan ask for the same rows, also when a later step drops columns, so one shuffle serves both."""
+    d = spark.range(200).selectExpr("id % 3 as k", "id as t", "id * 2 as v", "cast(id as string) as unused")
+    d = prefix_scan(d, ["k"], ["t"], F.floor(F.col("t") / 50).cast("long"), {"s": ("sum", F.col("v")), "p": ("prev", F.col("v"))})
+    for x in (d, d.select("k", "s")):
+        assert len(x.collect()) == 200
+        assert "ReusedExchange" in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_takes_rows_that_cannot_be_hashed(spark):
+    d = spark.range(6).selectExpr("id % 2 as k", "id as t", "map('a', id) as m")
+    got = prefix_scan(d, ["k"], ["t"], F.floor(F.col("t") / 2).cast("long"), {"p": ("prev", F.col("t"))}).collect()
+    assert sorted((r.t, r.p, r.m["a"]) for r in got) == [(0, None, 0), (1, None, 1), (2, 0, 2), (3, 1, 3), (4, 2, 4), (5, 3, 5)]
