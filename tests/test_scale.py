@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from wardspan.evaluation import analytics as A
+from wardspan.operators import intervals as I
 from wardspan.operators import joins as J
 from wardspan.operators import sampling as S
 from wardspan.operators.scan import prefix_scan
@@ -151,3 +152,13 @@ def test_a_scan_takes_rows_that_cannot_be_hashed(spark):
     d = spark.range(6).selectExpr("id % 2 as k", "id as t", "map('a', id) as m")
     got = prefix_scan(d, ["k"], ["t"], F.floor(F.col("t") / 2).cast("long"), {"p": ("prev", F.col("t"))}).collect()
     assert sorted((r.t, r.p, r.m["a"]) for r in got) == [(0, None, 0), (1, None, 1), (2, 0, 2), (3, 1, 3), (4, 2, 4), (5, 3, 5)]
+
+
+def test_a_segment_is_shuffled_with_one_list(spark):
+    rows = spark.createDataFrame([(1, 0, 4, "a", 1.0), (1, 2, 6, "b", 2.0), (1, 2, 6, "b", None), (2, 0, 3, "c", 5.0)], "k long, s long, e long, tag string, v double")
+    rows = rows.selectExpr("k", "timestamp_seconds(s * 3600) as s", "timestamp_seconds(e * 3600) as e", "tag", "v")
+    out = I.segments(rows, ["k"], "s", "e", "v", "tag", ["a", "b"])
+    got = sorted(((r.k, r.s.hour, r.e.hour, r.a, r.b) for r in out.collect()), key=str)
+    assert got == sorted([(1, 0, 2, 1.0, None), (1, 2, 4, 1.0, 2.0), (1, 2, 4, 1.0, None), (1, 4, 6, None, 2.0), (1, 4, 6, None, None)], key=str)
+    # the partial and the final list
+    assert out._jdf.queryExecution().sparkPlan().toString().count("collect_list") <= 2

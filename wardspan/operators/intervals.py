@@ -134,12 +134,12 @@ def segments(
     seg = seg.select(*keys, F.col("__at").alias(start), F.col("__to").alias(end))
     outer = rows.select(
         *keys, F.col(start).alias("__s"), F.col(end).alias("__e"),
-        F.col(tag).alias("__tag"), F.struct(F.col(value).alias("v")).alias("__v"),
+        F.struct(F.col(tag).alias("t"), F.col(value).alias("v")).alias("__v"),
     )
     hit = interval_within(seg, outer, keys, (start, end), ("__s", "__e"), "left", width_s)
-    out = hit.groupBy(*keys, start, end).agg(
-        *[F.collect_list(F.when(F.col("__tag") == t, F.col("__v"))).alias(t) for t in tags]
-    )
+    # one list per segment, not one per tag: a segment has few rows, and every list would be shuffled
+    out = hit.groupBy(*keys, start, end).agg(F.collect_list("__v").alias("__all"))
+    of = lambda t: F.filter("__all", lambda x: x["t"] == t)
     for t in tags:
-        out = out.withColumn(t, F.explode_outer(t)).withColumn(t, F.col(t)["v"])
-    return out
+        out = out.withColumn(t, F.explode_outer(of(t))).withColumn(t, F.col(t)["v"])
+    return out.drop("__all")
