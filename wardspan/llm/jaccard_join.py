@@ -8,7 +8,7 @@ member is the leader, and all classes that share some bucket with a leader are t
 are together in a group. 3. Each group keeps its token union as the leader's tokens plus every member's difference from them:
 rows (group, token, members). A class whose tokens are found in other members too rarely cannot link inside the group (the
 overlap bound), so the group is not opened for it. 4. Members that link with the leader are connected through it; no pairs
-among them are formed. For the others, opened groups are searched by the rarest difference tokens (prefix filter), only
+among them are formed. Groups that are not connected by that are led once more, by their most central member. For the others, opened groups are searched by the rarest difference tokens (prefix filter), only
 between classes that are not yet connected, and every candidate is verified on the full sets.
 """
 
@@ -244,17 +244,39 @@ def differences(groups: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return stored(rows.mapInArrow(run, "cls long, leader long, n long, apart long, linked boolean, delta array<long>"), "differences")
 
 
+def _torn(diffs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Stored differences with their components, of groups whose members, the leader aside, are not all connected: the
+    other groups have nothing left to find."""
+    d = diffs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce(F.col("component"), F.col("cls")))
+    torn = d.groupBy("leader").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("n").alias("n_max"), F.min("n").alias("n_min"), F.count("*").alias("size"))
+    return stored(d.join(torn.where("c1 <> c2").drop("c1", "c2"), "leader"), "torn-groups")
+
+
+def _cells(d: DataFrame, *columns: str) -> DataFrame:
+    """The matrix: how many members of the group differ from the leader in this token, where more than one does."""
+    cells = d.select("cls", "leader", *columns, F.explode("delta").alias("token"))
+    return cells.join(cells.groupBy("leader", "token").agg(F.count("*").alias("members")).where("members > 1"), ["leader", "token"])
+
+
+def recentred(diffs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Stored (cls, leader): the members of torn groups, each group led by its member with the least sum of distances to all others.
+
+    From there members differ in little but their own changes, so more of them link with the leader and few of the others
+    share a token. Groups with the same centre become one; whoever was together in a group still is.
+    """
+    d = _torn(diffs, comps)
+    common = _cells(d).groupBy("leader", "cls").agg(F.sum(F.col("members") - 1).alias("common"))
+    # over all members u, the leader with its empty difference included: the sum of |delta u ^ delta v|, less that of |delta u|
+    far = F.col("apart") * (F.col("size") + 1) - 2 * (F.col("apart") + F.coalesce(F.col("common"), F.lit(0)))
+    best = d.join(common, ["leader", "cls"], "left").groupBy("leader").agg(F.min(F.struct(far.alias("far"), F.col("cls").alias("centre"))).alias("v"))
+    best = stored(best.select("leader", F.when(F.col("v.far") < 0, F.col("v.centre")).otherwise(F.col("leader")).alias("centre")), "centres")
+    members = d.select("cls", "leader").union(best.select(F.col("leader").alias("cls"), "leader"))
+    return stored(_looked_up(members, best, "leader").select("cls", F.col("centre").alias("leader")).distinct(), "centred-groups")
+
+
 def opened_pairs(diffs: DataFrame, comps: DataFrame, s: Settings) -> DataFrame:
     """(a, b): candidates from the groups that a class must open; never two classes that are connected already."""
-    comp = lambda c: F.coalesce(c, F.col("cls"))
-    d = diffs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", comp(F.col("component")))
-    # groups whose members, the leader aside, are all connected have nothing left to find
-    torn = d.groupBy("leader").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("n").alias("n_max"), F.min("n").alias("n_min")).where("c1 <> c2").drop("c1", "c2")
-    d = stored(d.join(torn, "leader"), "torn-groups")
-    # the matrix: how many members of the group differ from the leader in this token
-    cells = d.select("cls", "leader", "n", "apart", "linked", "component", "n_max", "n_min", F.explode("delta").alias("token"))
-    matrix = cells.groupBy("leader", "token").agg(F.count("*").alias("members")).where("members > 1")
-    cells = cells.join(matrix, ["leader", "token"])
+    cells = _cells(_torn(diffs, comps), "n", "apart", "linked", "component", "n_max", "n_min")
     # differences that no other member has never come back in an overlap: both differ there for sure
     per = W.partitionBy("cls", "leader")
     cells = cells.withColumns({"shared": F.count("*").over(per), "rank": F.row_number().over(per.orderBy("members", "token"))})
@@ -303,6 +325,9 @@ def components_of(docs: DataFrame, s: Settings) -> DataFrame:
     diffs = differences(groups, tokens, s)
     links = diffs.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
     first = stored(components(links), "connected")
+    diffs = differences(recentred(diffs, first), tokens, s)
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(diffs.where("linked").select("cls", "leader"))
+    first = stored(components(links), "connected")
     more = stored(verified(opened_pairs(diffs, first, s), tokens, s), "links")
     comps = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "all-links")
     # classes to documents; equal ids tie their classes together
