@@ -88,3 +88,13 @@ def test_common_lines_of_many_repeats():
     pairs = page_difference.common_lines(a, b)
     assert len(pairs) == 2001
     assert pairs[0] == (100, 0) and all(a[i] == b[j] for i, j in pairs)
+
+
+def test_neighbours_do_not_depend_on_the_size_of_the_host(spark):
+    """Sections of two pages share a banner: the pages meet wherever the host is cut, also next to repeated rows."""
+    page = lambda i: f"<div>Banner of section {i // 2}</div><div>Body number {i} which is long enough to be the main text of its page</div>"
+    rows = [(i, f"http://h.test/{i // 2:03}/{i % 2}", page(i)) for i in range(300)] + [(None, "http://h.test/a/", "<p>x y</p>")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {n: sorted(map(tuple, page_difference.extracted(pages, page_difference.Settings(block_pages=n)).collect()), key=str) for n in (3, 7, 1_000)}
+    assert got[3] == got[7] == got[1_000] and len(got[7]) == len(rows)
+    assert not any("Banner" in text for _, _, text, _ in got[7])
