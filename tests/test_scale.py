@@ -3,6 +3,7 @@
 import re
 from datetime import datetime as D
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -162,3 +163,23 @@ def test_a_segment_is_shuffled_with_one_list(spark):
     assert got == sorted([(1, 0, 2, 1.0, None), (1, 2, 4, 1.0, 2.0), (1, 2, 4, 1.0, None), (1, 4, 6, None, 2.0), (1, 4, 6, None, None)], key=str)
     # the partial and the final list
     assert out._jdf.queryExecution().sparkPlan().toString().count("collect_list") <= 2
+
+
+def test_draw_counts_go_out_small(spark):
+    for numbers in ([], [0], [3, 0, 255], [256, 1], [70_000, 0], [1 << 40, 2]):
+        assert S.unsqueezed(S.squeezed(np.array(numbers, np.int64))).tolist() == numbers
+    units = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("u"))
+    whole = {r["u"]: np.frombuffer(r["times"], "<i4") for r in S.bootstrap_arrays(units, "u", ["g"], 400, 5).collect()}
+    small = {r["u"]: r["times"] for r in S.bootstrap_arrays(units, "u", ["g"], 400, 5, small=True).collect()}
+    assert whole.keys() == small.keys() and all((S.unsqueezed(small[u]) == whole[u]).all() for u in whole)
+    # 400 counts of 32 bits are 1,600 bytes
+    assert max(map(len, small.values())) < 250
+
+
+def test_few_values_are_one_slice_of_any_number_of_units(spark, monkeypatch):
+    slices, sliced = [], S.value_slices
+    monkeypatch.setattr(S, "value_slices", lambda *a, **k: slices.append(sliced(*a, **k)) or slices[-1])
+    df = spark.range(90_000).select(F.lit(1).alias("g"), (F.col("id") % 3_000).alias("u"), F.floor(F.col("id") / 3_000).alias("v"))
+    got = S.drawn_weights(df, ["g"], "u", "v", 3, 1).groupBy("replicate").agg(F.sum("weight").alias("n"), F.count("*").alias("k")).collect()
+    assert [tuple(r) for r in sorted(got)] == [(i, 90_000, 30) for i in (1, 2, 3)]
+    assert len(slices) == 1 and slices[0].select(S.SLICE).distinct().count() == 1
