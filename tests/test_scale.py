@@ -183,3 +183,23 @@ def test_few_values_are_one_slice_of_any_number_of_units(spark, monkeypatch):
     got = S.drawn_weights(df, ["g"], "u", "v", 3, 1).groupBy("replicate").agg(F.sum("weight").alias("n"), F.count("*").alias("k")).collect()
     assert [tuple(r) for r in sorted(got)] == [(i, 90_000, 30) for i in (1, 2, 3)]
     assert len(slices) == 1 and slices[0].select(S.SLICE).distinct().count() == 1
+
+
+def test_flags_of_scored_hours_come_from_few_columns(spark, monkeypatch):
+    """The drop of the coma score reaches few columns; the others, and repeated stays, come back as they were."""
+    taken, drop = [], SC.trailing_drop
+    monkeypatch.setattr(SC, "trailing_drop", lambda df, *a: taken.append(set(df.columns)) or drop(df, *a))
+    at = D(2024, 1, 1)
+    c = Catalog(spark, {
+        "icustays": spark.createDataFrame([(0, at), (1, at), (1, at), (None, at)], "stay_id int, intime timestamp_ntz"),
+        "inputevents": spark.createDataFrame([(1, 222168, at, D(2024, 1, 1, 2))], "stay_id int, itemid int, starttime timestamp_ntz, endtime timestamp_ntz"),
+    })
+    rows = [(s, h, 80.0 + h, 15.0 - 3 * (h == 2)) for s in (0, 1, 9, None) for h in range(4)]
+    grid = spark.createDataFrame(rows, "stay_id int, hour int, hr double, gcs_total double")
+    grid = grid.withColumns({x: F.lit(v) for x, v in (("rr", 16.0), ("spo2", 97.0), ("sbp", 120.0), ("map", 80.0), ("temp_c", 37.0), ("fio2", 0.21), ("glucose", 100.0))})
+    g, _ = SC.news2(c, grid, spark.createDataFrame([(0, "a")], "stay_id int, dx_chapter string"))
+    assert taken == [{"stay_id", "hour", "gcs_total", "sedated"}]
+    got = sorted((r["stay_id"], r["hour"], r["hr"], r["sedated"], r["gcs_drop"], r["dx_group"] or "") for r in g.collect())
+    want = [(0, h, 80.0 + h, False, h == 2, "a") for h in range(4)]
+    want += [(1, h, 80.0 + h, h < 2, h == 2, "") for h in range(4) for _ in range(2)]
+    assert got == want
