@@ -3,6 +3,7 @@
 from datetime import datetime as D
 from datetime import timedelta as H
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wardspan.operators import intervals as I
@@ -101,3 +102,20 @@ def test_plan_has_no_cartesian(spark):
     plan = J.point_in_interval(p, s, ["k"], "ts", "s", "e")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def test_boundary_sums_share_one_shuffle(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, D(2024, 1, 1) + H(minutes=int(m)), int(v)) for k in (1, 2) for m, v in zip(rng.integers(0, 20_000, 400), rng.integers(-5, 50, 400))]
+    d = spark.createDataFrame(rows + [(None, D(2024, 1, 2), 7)], "k int, ts timestamp_ntz, v int")
+    out = J.boundary_hour_sums(d, ["k"], "ts", {"s": "v"}, {"6h": 5, "12h": 11}, {"24h": 23})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert out.columns == ["k", "ts", "v", "s_6h", "s_12h", "s_24h"]
+    hour = lambda t: t.replace(minute=0)
+    got = out.filter("k is not null").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        past = [(t, v) for k, t, v in rows if k == r["k"] and t <= r["ts"]]
+        assert r["s_6h"] == sum(v for t, v in past if hour(r["ts"]) - hour(t) <= H(hours=5))
+        assert r["s_12h"] == sum(v for t, v in past if hour(r["ts"]) - hour(t) <= H(hours=11))
+        assert r["s_24h"] == sum(v for t, v in past if r["ts"] - t <= H(hours=23))
