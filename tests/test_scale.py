@@ -203,3 +203,32 @@ def test_flags_of_scored_hours_come_from_few_columns(spark, monkeypatch):
     want = [(0, h, 80.0 + h, False, h == 2, "a") for h in range(4)]
     want += [(1, h, 80.0 + h, h < 2, h == 2, "") for h in range(4) for _ in range(2)]
     assert got == want
+
+
+def test_statistics_meet_the_other_features_once(spark, monkeypatch):
+    """Flags and lab counts are found without the statistics; repeated rows and defaults come back as before."""
+    taken, counts = [], FT.trailing_event_counts
+    monkeypatch.setattr(FT, "trailing_event_counts", lambda df, ev, *a: taken.append(set(df.columns)) or counts(df, ev, *a))
+    at = lambda h: D(2024, 1, 1, h)
+    grid = spark.createDataFrame([(s, h, 70.0 + h) for s in (1, 2) for h in range(4)], "stay_id int, hour long, hr double")
+    scores = spark.createDataFrame([(1, 0, 5, "medium", "low")], "stay_id int, hour long, news2 int, tier_ward string, tier_icu string")
+    sofa = spark.createDataFrame([(1, 1, 3)], "stay_id int, hr long, sofa_24hours int")
+    lines = spark.createDataFrame([(1, "Arterial", at(1), at(2))], "stay_id int, line_type string, starttime timestamp_ntz, endtime timestamp_ntz")
+    labs = spark.createDataFrame([(7, at(1)), (7, at(1))], "hadm_id int, charttime timestamp_ntz")
+    stays = spark.createDataFrame(
+        [(7, 1, at(0), 10, 60, "F", "MICU"), (8, 2, at(0), 11, 70, "M", "CCU"), (8, 2, at(0), 11, 70, "M", "SICU")],
+        "hadm_id int, stay_id int, icu_intime timestamp_ntz, subject_id int, admission_age int, gender string, first_careunit string")
+    disease = spark.createDataFrame([(1, "a", 2)], "stay_id int, dx_chapter string, charlson_comorbidity_index int")
+    out = FT.feature_frame(grid, scores, sofa, lines, labs, stays, disease, ["hr"])
+    assert not any("hr" in x for x in taken) and out.columns[:3] == ["stay_id", "hour", "hr"]
+    got = sorted((r["stay_id"], r["hour"], r["hr"], r["news2"], r["sofa_24hours"], r["has_arterial_line"], r["lab_orders_4h"], r["dx_chapter"], r["first_careunit"]) for r in out.collect())
+    want = [(1, h, 70.0 + h, 5 * (h == 0), 3 * (h == 1), int(h in (1, 2)), 2 * (h >= 1), "a", "MICU") for h in range(4)]
+    want += [(2, h, 70.0 + h, 0, 0, 0, 0, "Unknown", u) for h in range(4) for u in ("CCU", "SICU")]
+    assert got == want
+
+
+def test_counts_of_repeated_and_missing_keys(spark):
+    grid = spark.createDataFrame([(1, 0.0, "a"), (1, 0.0, "b"), (None, 2.0, "c"), (2, 1.0, "d"), (2, None, "e")], "k int, at double, x string")
+    events = spark.createDataFrame([(1, 0.0), (1, -3.0), (None, 1.0), (2, 5.0)], "k int, e double")
+    out = FT.trailing_event_counts(grid, events, ["k"], "at", "e", [1, 4], "n_")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 0.0, "a", 1, 2), (1, 0.0, "b", 1, 2), (None, 2.0, "c", 0, 1), (2, 1.0, "d", 0, 0)], key=str)
